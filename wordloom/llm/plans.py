@@ -5,10 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import bpe, frequent, terms
+from wordloom.llm import bpe, forms, frequent, terms, vectors
 from wordloom.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of rows of params, one of which is among the other's 5 most similar."""
+    return vectors.as_pairs(vectors.most_similar(table(spark, sf_dir, "params"), "row_id", "vec"))
+
+
+def _written_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = table(spark, sf_dir, "vocab").select(F.lit("vocab").alias("src"), F.col("idx").alias("row_id"), F.col("label").alias("text"))
+    deps = table(spark, sf_dir, "dependencies").select(F.lit("dependencies").alias("src"), F.col("dep_id").alias("row_id"), F.col("form").alias("text"))
+    return vocab.unionByName(deps)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and forms that look like a lexicon word but are other strings."""
+    found = forms.match_words(_written_forms(spark, sf_dir), table(spark, sf_dir, "lexicon"), ["src", "row_id"], "text")
+    return found.where(F.col("word_id").isNotNull() & (F.col("text") != F.col("word_"))).select("src", "row_id", "word_id").distinct()
+
+
+def p2_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every label and form with its consistent form, a lexicon word in its own."""
+    found = forms.match_words(_written_forms(spark, sf_dir), table(spark, sf_dir, "lexicon"), ["src", "row_id"], "text")
+    return found.select("src", "row_id", "text", F.coalesce("word_", "form_").alias("normal")).distinct()
+
+
 def _term_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = terms.term_statistics(table(spark, sf_dir, "type_counts"), "label", "count", "shard_id", "count_id")
     shards = table(spark, sf_dir, "simple_vocab").select("shard_id").distinct().count()
@@ -51,6 +74,9 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_normalised": p2_normalised,
     "p4_found": p4_found,
     "p4_term_stats": p4_term_stats,
     "p5_found": p5_found,
