@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import bpe, forms, frequent, terms, vectors
+from wordloom.llm import bpe, forms, frequent, pii, terms, vectors
 from wordloom.session import table
 
 
@@ -73,6 +73,16 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of personal data in documents."""
+    return pii.find_personal_data(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_list"))
+
+
+def p9_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by placeholders."""
+    return pii.mask_personal_data(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_list"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -82,6 +92,8 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_top_intervals": p5_top_intervals,
     "p7_ids": p7_ids,
+    "p9_found": p9_found,
+    "p9_masked": p9_masked,
 }
 
 _ONCE = """
