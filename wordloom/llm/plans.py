@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm import bpe, forms, frequent, pii, terms, vectors
+from wordloom.llm import bpe, forms, frequent, mix, pii, terms, vectors
 from wordloom.session import table
 
 
@@ -73,6 +73,22 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> mix.Mix:
+    docs = table(spark, sf_dir, "documents").where(F.col("source").isNotNull() & F.col("text").isNotNull())
+    docs = docs.select("doc_id", "source", F.md5("text").alias("key"), "text")
+    return mix.mix_sources(bpe.count_tokens(docs, ["doc_id", "source", "key"]), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix, each with its source and number of copies."""
+    return _mix(spark, sf_dir).chosen
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every source of the mix."""
+    return _mix(spark, sf_dir).shares
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of personal data in documents."""
     return pii.find_personal_data(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_list"))
@@ -92,6 +108,8 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_top_intervals": p5_top_intervals,
     "p7_ids": p7_ids,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_masked": p9_masked,
 }
