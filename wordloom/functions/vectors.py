@@ -39,8 +39,9 @@ def l2_norm(u: Column) -> Column:
 
 def l2_normalize(u: Column) -> Column:
     """The unit vector; a vector without length becomes NaN throughout."""
-    norm = l2_norm(u)
-    return F.transform(u, lambda x: F.when(norm == 0, F.lit(float("nan"))).otherwise(F.try_divide(x.cast("double"), norm)))
+    # repeated beside the vector, the norm is computed once and not for each component
+    norms = F.array_repeat(l2_norm(u), F.size(u))
+    return F.zip_with(u, norms, lambda x, n: F.when(n == 0, F.lit(float("nan"))).otherwise(F.try_divide(x.cast("double"), n)))
 
 
 def logistic(a: Column) -> Column:

@@ -2,37 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.config import SkipGramConfig
 from wordloom.operators.deps import training_pairs
 from wordloom.operators.pairs import explode_tokens, kept_sentences, kept_tokens, output_index, window_size
-from wordloom.operators.sampling import negative_sample
+from wordloom.operators.sampling import negative_draws
 from wordloom.operators.subwords import input_ids
 
 #: Focus tokens of one part of a super-step, whatever the corpus.
 PART_TOKENS = 20_000
 
 
+def _draw_batches(n: int, band: int, ns: int, exponent: float, epoch: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add ``negatives``: ``ns`` for each output, in the order of the outputs."""
+    np.seterr(over="ignore")
+    for batch in batches:
+        outputs = batch.column(3)
+        sizes = outputs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        positive = np.repeat(outputs.flatten().to_numpy(zero_copy_only=False).astype(np.int64), ns)
+        row = np.repeat(np.repeat(np.arange(len(sizes)), sizes), ns)
+        begin = np.cumsum(sizes * ns) - sizes * ns
+        within = np.arange(len(row)) - begin[row]
+        sent, pos = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+        drawn = negative_draws(positive, [epoch, sent[row], pos[row], within], n, exponent, band) if len(row) else positive
+        offsets = np.concatenate([[0], np.cumsum(sizes * ns)]).astype(np.int32)
+        negatives = pa.ListArray.from_arrays(pa.array(offsets), pa.array(drawn, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, negatives], names=[*batch.schema.names, "negatives"])
+
+
 def _with_negatives(focus: DataFrame, vocab: DataFrame, n: int, band: int, ns: int, exponent: float, parts: int, epoch: int) -> DataFrame:
     """Add input ids, hashed negatives and the part to ``(sent_id, pos, focus_idx, outputs)``."""
     ids = vocab.select(F.col("idx").alias("focus_idx"), input_ids(vocab).alias("ids"))
-
-    def draws(positive: Column, at: Column) -> Column:
-        one = lambda j: negative_sample(positive, [F.lit(epoch), F.col("sent_id"), F.col("pos"), at, j], n, exponent, band)
-        return F.transform(F.sequence(F.lit(1), F.lit(ns)), one)
-
-    none = F.array().cast("array<long>")
-    negatives = F.flatten(F.transform("outputs", draws)) if ns else none
-    return focus.join(ids, "focus_idx").select(
-        F.pmod(F.xxhash64(F.lit(epoch), "sent_id"), F.lit(parts)).cast("int").alias("part"),
-        "sent_id",
-        "pos",
-        "ids",
-        "outputs",
-        F.when(F.size("outputs") > 0, negatives).otherwise(none).alias("negatives"),
-    )
+    shape = "sent_id long, pos int, focus_idx long, outputs array<long>, negatives array<long>"
+    drawn = focus.select("sent_id", "pos", "focus_idx", "outputs").mapInArrow(lambda it: _draw_batches(n, band, ns, exponent, epoch, it), shape)
+    part = F.pmod(F.xxhash64(F.lit(epoch), "sent_id"), F.lit(parts)).cast("int").alias("part")
+    return drawn.join(ids, "focus_idx").select(part, "sent_id", "pos", "ids", "outputs", "negatives")
 
 
 def parts_for(n_tokens: int) -> int:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -98,6 +99,44 @@ def negative_sample(positive: Column, key: list[Column], n: int, exponent: float
     return F.coalesce(F.get(F.filter(tried, lambda x: x != positive), F.lit(0)), F.pmod(positive + 1, F.lit(n * band)))
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: neighbouring keys become unrelated numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def hashed_uniform(*parts: np.ndarray | int) -> np.ndarray:
+    """Numbers in [0, 1) by the key of all parts, vectorised."""
+    h = np.uint64(0x9E3779B97F4A7C15)
+    for part in parts:
+        h = _mix(np.asarray(part, np.int64).astype(np.uint64) + h + np.uint64(0x9E3779B97F4A7C15))
+    return (h >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+
+
+def negative_draws(positive: np.ndarray, key: list[np.ndarray | int], n: int, exponent: float, band: int, attempts: int = 16) -> np.ndarray:
+    """As :func:`negative_sample` for arrays, by the hash of :func:`hashed_uniform`."""
+    if n * band < 2:
+        raise ValueError("negative samples need at least two output rows")
+    low = _antiderivative(1.5, exponent) - 1
+    span = _antiderivative(n + 0.5, exponent) - low
+    out = (positive + 1) % (n * band)
+    open_ = np.arange(len(positive))
+    for attempt in range(attempts):
+        part = [k[open_] if isinstance(k, np.ndarray) else k for k in key]
+        y = hashed_uniform(0, attempt, *part) * span + low
+        x = np.exp(y) if exponent == 1 else (y * (1 - exponent) + 1) ** (1 / (1 - exponent))
+        drawn = np.clip(np.floor(x), 1, n).astype(np.int64) - 1
+        if band > 1:
+            drawn = drawn * band + np.floor(hashed_uniform(1, attempt, *part) * band).astype(np.int64)
+        good = drawn != positive[open_]
+        out[open_[good]] = drawn[good]
+        open_ = open_[~good]
+        if not len(open_):
+            break
+    return out
+
+
 def initial_vectors(spark, matrix: str, rows: int, dims: int, seed: int = 0) -> DataFrame:
     """``(row_id, vec)`` with components uniform in [-1/dims, 1/dims]."""
     component = lambda d: ((2 * uniform("i", seed, matrix, F.col("id"), d) - 1) / F.lit(float(dims))).cast("float")

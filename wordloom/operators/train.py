@@ -9,6 +9,7 @@ merges the deltas; one super-step is one Spark job over a durable table.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -74,27 +75,48 @@ class StepStats:
     tokens: int
 
 
-def sequential_pass(examples: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rows_in: np.ndarray, rows_out: np.ndarray, lr: float) -> float:
-    """Train on ``(input rows, positive outputs, negatives by positive)`` in
-    order, changing both matrices in place; returns the summed loss.
+def sequential_pass(examples: list[tuple[np.ndarray, np.ndarray]], rows_in: np.ndarray, rows_out: np.ndarray, lr: float) -> float:
+    """Train on ``(input rows, outputs)`` in order, changing both matrices in
+    place; returns the summed loss.
 
-    The mean of the focus is not refreshed between its contexts, and each
-    context's delta goes in full to every input row.
+    ``outputs`` has a row per context: the positive, then its negatives.  The
+    mean ``u`` of the focus is not refreshed between its contexts and a
+    context's delta goes in full to every input row.  An output row only ever
+    moves along ``u`` during one focus, so its activation follows from a
+    scalar recurrence: repeats see what earlier ones changed, yet vectors are
+    touched once per distinct row.
     """
-    total = 0.0
-    for ids, positives, negatives in examples:
-        u = rows_in[ids].mean(axis=0)
-        for positive, others in zip(positives, negatives):
-            delta = np.zeros_like(u)
-            for output, label in ((positive, 1.0), *((o, 0.0) for o in others)):
-                w = rows_out[output]
-                a = float(u @ w)
-                y = 1.0 if a > 10 else 0.0 if a < -10 else 1 / (1 + np.exp(-a))
-                total -= np.log((y if label else 1 - y) + 1e-5)
-                g = lr * (label - y)
-                delta += g * w
-                rows_out[output] = w + g * u
+    total, exp, log = 0.0, math.exp, math.log
+    for ids, outputs in examples:
+        if not outputs.size:
+            continue
+        u = rows_in[ids].mean(axis=0) if len(ids) > 1 else rows_in[ids[0]].copy()
+        order = outputs.ravel().tolist()
+        distinct = {o: i for i, o in enumerate(dict.fromkeys(order))}
+        rows = np.fromiter(distinct, np.int64, len(distinct))
+        w = rows_out[rows]
+        activation, length = (w @ u).tolist(), float(u @ u)
+        moved = [0.0] * len(rows)
+        along, width = 0.0, outputs.shape[1]
+        for k, o in enumerate(order):
+            i = distinct[o]
+            a = activation[i] + moved[i] * length
+            y = 1.0 if a > 10 else 0.0 if a < -10 else 1 / (1 + exp(-a))
+            if k % width:
+                total -= log(1 - y + 1e-5)
+                g = -lr * y
+            else:
+                total -= log(y + 1e-5)
+                g = lr * (1 - y)
+            along += g * moved[i]  # the old row is w + moved * u
+            moved[i] += g
+        step = np.array(moved, rows_out.dtype)
+        delta = step @ w + rows_out.dtype.type(along) * u
+        rows_out[rows] = w + step[:, None] * u
+        if len(ids) > 1:
             np.add.at(rows_in, ids, delta)
+        else:
+            rows_in[ids[0]] += delta
     return total
 
 
@@ -113,9 +135,10 @@ def _train_part(lr: float):
         before = {m: stack[m].copy() for m in stack}
         work, positives = [], 0
         for e in examples.sort_values(["sent_id", "pos"]).itertuples():
-            outs = np.array([place[OUTPUT][int(o)] for o in e.outputs], np.int64)
-            negatives = np.array([[place[OUTPUT][int(x)] for x in row] for row in np.asarray(list(e.negatives)).reshape(len(outs), -1)], np.int64) if len(outs) else []
-            work.append((np.array([place[INPUT][int(i)] for i in e.ids], np.int64), outs, negatives))
+            outs = np.array([place[OUTPUT][o] for o in e.outputs], np.int64)
+            others = np.array([place[OUTPUT][o] for o in e.negatives], np.int64)
+            both = np.concatenate([outs[:, None], others.reshape(len(outs), -1)], axis=1) if len(outs) else outs[:, None]
+            work.append((np.array([place[INPUT][i] for i in e.ids], np.int64), both))
             positives += len(outs)
         loss = sequential_pass(work, stack[INPUT], stack[OUTPUT], lr)
         rows = []
@@ -133,13 +156,14 @@ def super_step(examples: DataFrame, params: DataFrame, lr: float) -> tuple[DataF
     negatives``) with the parameter rows each part touches; parts are of
     bounded size.  Deltas of a row are averaged over the parts that changed it.
     """
+    examples = written(examples)  # read three times below
     touched = examples.select("part", F.explode("ids").alias("row_id")).distinct().withColumn("matrix", F.lit(INPUT))
     out = examples.select("part", F.explode(F.concat("outputs", "negatives")).alias("row_id")).distinct().withColumn("matrix", F.lit(OUTPUT))
-    needed = touched.unionByName(out).join(params, ["matrix", "row_id"]).select("part", "matrix", "row_id", "vec")
+    needed = touched.unionByName(out).join(params, ["matrix", "row_id"]).select(F.col("part").alias("at"), "matrix", "row_id", "vec")
     run = _train_part(lr)
     raw = (
         examples.groupBy("part")
-        .cogroup(needed.groupBy("part"))
+        .cogroup(needed.groupBy("at"))
         .applyInPandas(run, "matrix int, row_id long, delta array<float>, loss double, positives long, tokens long")
     )
     changes = written(raw)
