@@ -29,8 +29,8 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--buckets", type=int, default=21, metavar="EXP")
         p.add_argument("--dims", type=int, default=300)
         p.add_argument("--discard", type=float, default=1e-4)
-        p.add_argument("-f", "--format", default="finalfusion", choices=[f.value for f in EmbeddingFormat])
-        p.add_argument("--hash-indexer", default="finalfusion", choices=[f.value for f in BucketIndexerType])
+        p.add_argument("-f", "--format", default="native", choices=[f.value for f in EmbeddingFormat])
+        p.add_argument("--hash-indexer", default="native", choices=[f.value for f in BucketIndexerType])
         p.add_argument("--epochs", type=int, default=15)
         p.add_argument("--lr", type=float, default=0.05)
         words = p.add_mutually_exclusive_group()

@@ -38,13 +38,13 @@ class LossType(_Named):
 class BucketIndexerType(_Named):
     """Hash of character n-grams: code points by 64-bit FNV-1a, or UTF-8 bytes by the 32-bit variant."""
 
-    FINALFUSION = "finalfusion"
+    NATIVE = "native"
     FASTTEXT = "fasttext"
 
 
 class EmbeddingFormat(_Named):
     FASTTEXT = "fasttext"
-    FINALFUSION = "finalfusion"
+    NATIVE = "native"
     WORD2VEC = "word2vec"
     TEXT = "text"
     TEXTDIMS = "textdims"
@@ -87,7 +87,7 @@ class SimpleVocabConfig:
 @dataclass(frozen=True)
 class BucketConfig:
     buckets_exp: int = 21
-    indexer_type: BucketIndexerType = BucketIndexerType.FINALFUSION
+    indexer_type: BucketIndexerType = BucketIndexerType.NATIVE
 
 
 @dataclass(frozen=True)
@@ -115,7 +115,7 @@ class CommonConfig:
     loss: LossType = LossType.LOGISTIC_NEGATIVE_SAMPLING
     dims: int = 300
     epochs: int = 15
-    format: EmbeddingFormat = EmbeddingFormat.FINALFUSION
+    format: EmbeddingFormat = EmbeddingFormat.NATIVE
     negative_samples: int = 5
     lr: float = 0.05
     zipf_exponent: float = 0.5
