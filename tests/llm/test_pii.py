@@ -20,6 +20,8 @@ CASES = {
     "☎ 1 (212) 555 0196": [("phone", "1 (212) 555 0196")],
     "My desk phone is 808.555.0124.": [("phone", "808.555.0124")],
     "0221/4710962": [("phone", "0221/4710962")],
+    "T: +33 1 99 00 66 53 1234567890": [("phone", "+33 1 99 00 66 53")],
+    "Passport QQ979264C 1234567890": [("idnum", "QQ979264C")],
     "It has 1 234 567 rows, 910 362 453 types, 0.123456 loss at 2023-04-05": [],
     "teléfono en la línea 2185966": [],
     "Passport QQ979264C was used": [("idnum", "QQ979264C")],

@@ -86,19 +86,25 @@ def _phone(text: str, at: int, cued: bool) -> tuple[int, int] | None:
         return None
     number = found.group()
     digits = sum(c.isdigit() for c in number)
+    end = found.end()
+    while digits > 15 and " " in number:
+        # other figures may follow the number on its line
+        number = number[: number.rindex(" ")].rstrip(" /-")
+        digits = sum(c.isdigit() for c in number)
+        end = at + len(number)
     if not 7 <= digits <= 15 or re.fullmatch(r"\d{4}-\d\d-\d\d|\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d{1,3}(?:[ .]\d{3})+|\d+\.\d+", number):
         # three groups of three are also how a Spanish number is written
         if not re.fullmatch(r"[5-9]\d\d(?:[ .]\d{3}){2}", number):
             return None
     if cued:
-        return found.span()
+        return (at, end)
     international = number[0] == "+" or number.startswith("(+") or (number.startswith("00") and 11 <= digits <= 15)
     if international and digits >= 9:
-        return found.span()
+        return (at, end)
     left = text.rfind("\n", 0, at) + 1
-    right = text.find("\n", found.end())
-    alone = not text[left:at].strip(" \t\r>*•-") and not text[found.end() : right if right >= 0 else len(text)].strip()
-    return found.span() if alone and digits >= 9 and _NATIONAL.fullmatch(number) else None
+    right = text.find("\n", end)
+    alone = not text[left:at].strip(" \t\r>*•-") and not text[end : right if right >= 0 else len(text)].strip()
+    return (at, end) if alone and digits >= 9 and _NATIONAL.fullmatch(number) else None
 
 
 # ---------------------------------------------------------------- identity numbers
@@ -126,6 +132,8 @@ def _idnum(text: str, at: int) -> tuple[int, int] | None:
     parts = list(re.finditer(r"[A-Z0-9]+", found.group()))
     while len(parts) > 1 and parts[-1].group().isalpha() and len(parts[-1].group()) > 1:
         parts.pop()
+    while len(parts) > 1 and len(parts[-1].group()) >= 10 and sum(len(p.group()) for p in parts[:-1]) >= 6:
+        parts.pop()  # a figure of its own
     end = start + parts[-1].end()
     value = text[start:end]
     alnum = sum(c.isalnum() for c in value)
@@ -268,7 +276,7 @@ class Names:
 
 #: Forms of a full name over the letters of :meth:`Names.kind`; a comma is ",".
 _FULL = re.compile(
-    r"[GCFM](?:G(?=[IPFU]))?I{0,2}P{0,3}[FU][FUM]?|GI{0,2}P{0,3}M[FUM]?|I{1,2}P{0,3}[FU][FUM]?"
+    r"[GCFM](?:G(?=[IPFU]))?I{0,2}P{0,3}[FU][FUM]?|CI{0,2}P{0,3}M[FU]|GI{0,2}P{0,3}M[FUM]?|I{1,2}P{0,3}[FU][FUM]?"
     r"|P{0,3}U[FU]?[GCFM]|MG|[FU][FUM]?,[GCFM]I?|M,G|GI{0,2}P{1,3}C|GI{1,2}C"
 )
 #: A weaker form, taken only after a cue or as a whole line.
