@@ -12,15 +12,15 @@ FNV64_BASIS, FNV64_PRIME = 0xCBF29CE484222325, 0x100000001B3
 FNV32_BASIS, FNV32_PRIME = 0x811C9DC5, 0x01000193
 
 
-def trimmed(line: Column) -> Column:
-    """``line`` without white space (in the Unicode sense) at its ends."""
-    return F.regexp_replace(line, rf"\A{WHITE}+|{WHITE}+\z", "")
+def has_tokens(line: Column) -> Column:
+    """Whether anything but white space is in the line."""
+    return line.rlike(WHITE.replace("[", "[^", 1))
 
 
 def whitespace_tokens(line: Column) -> Column:
     """The tokens of a line; a blank line has none, a null line is null."""
-    text = trimmed(line)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, f"{WHITE}+"))
+    # white space at the ends leaves empty parts; one pass is cheaper than trimming first
+    return F.array_remove(F.split(line, f"{WHITE}+"), "")
 
 
 def bracketed(word: Column) -> Column:

@@ -9,7 +9,7 @@ from wordloom.config import BucketConfig, BucketIndexerType, Cutoff, ModelType,
 from wordloom.durable import written
 from wordloom.functions.text import FNV32_BASIS, FNV32_PRIME, FNV64_BASIS, FNV64_PRIME, WHITE, ngrams
 from wordloom.operators import pairs, subwords, vocab
-from wordloom.session import table
+from wordloom.session import spread, table
 from wordloom.sources.corpus import document_sentences, document_trees
 from wordloom.streaming.token_counts import streaming_token_counts
 
@@ -19,7 +19,7 @@ TARGET, TARGET_TIES = 1000, 1237
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_sentences(table(spark, sf_dir, "documents"))
+    return document_sentences(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wordloom.operators.rejects import VALUE_PATTERNS, load_strict, rejected
 from wordloom.operators.skew import heavy_keys, salted_aggregate
-from wordloom.session import table
+from wordloom.session import spread, table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,12 +26,12 @@ def p3_label_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of dep_raw that break the format, with the reason."""
-    return rejected(table(spark, sf_dir, "dep_raw"))
+    return rejected(spread(table(spark, sf_dir, "dep_raw").select("line_id", "raw")))
 
 
 def p6_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of dep_raw that conform, as typed dependency rows."""
-    return load_strict(table(spark, sf_dir, "dep_raw"))
+    return load_strict(spread(table(spark, sf_dir, "dep_raw").select("line_id", "raw")))
 
 
 QUERIES = {"p3_found": p3_found, "p3_label_totals": p3_label_totals, "p6_found": p6_found, "p6_loaded": p6_loaded}

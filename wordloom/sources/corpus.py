@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.functions.text import trimmed, whitespace_tokens
+from wordloom.functions.text import has_tokens, whitespace_tokens
 
 #: Room for the lines of one document in a sentence id.
 LINES_PER_DOCUMENT = 100_000
@@ -20,7 +20,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def tokenised(lines: DataFrame, value: str = "value") -> DataFrame:
     """Lines as token arrays; blank lines (and null) vanish."""
-    return lines.withColumn("tokens", whitespace_tokens(F.col(value))).where(F.size("tokens") > 0)
+    # the filter looks for one visible character, so that no line is split twice
+    return lines.where(has_tokens(F.col(value))).withColumn("tokens", whitespace_tokens(F.col(value)))
 
 
 def document_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -36,7 +37,7 @@ def document_sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Blocks of a file that are separated by blank lines, as ``value``."""
-    return spark.read.option("lineSep", "\n\n").text(path).where(trimmed(F.col("value")) != "")
+    return spark.read.option("lineSep", "\n\n").text(path).where(has_tokens(F.col("value")))
 
 
 NODE = "struct<id:int,form:string,head:int,rel:string>"
