@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm import bpe, forms, frequent, mix, pii, terms, vectors
-from wordloom.session import table
+from wordloom.session import spread, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of rows of params, one of which is among the other's 5 most similar."""
-    return vectors.as_pairs(vectors.most_similar(table(spark, sf_dir, "params"), "row_id", "vec"))
+    return vectors.as_pairs(vectors.most_similar(spread(table(spark, sf_dir, "params").select("row_id", "vec")), "row_id", "vec"))
 
 
 def _written_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,11 +70,11 @@ def p5_top_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
-    return bpe.encode(table(spark, sf_dir, "documents"), ["doc_id"])
+    return bpe.encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> mix.Mix:
-    docs = table(spark, sf_dir, "documents").where(F.col("source").isNotNull() & F.col("text").isNotNull())
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).where(F.col("source").isNotNull() & F.col("text").isNotNull())
     docs = docs.select("doc_id", "source", F.md5("text").alias("key"), "text")
     return mix.mix_sources(bpe.count_tokens(docs, ["doc_id", "source", "key"]), table(spark, sf_dir, "mix_targets"))
 
@@ -91,12 +91,12 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of personal data in documents."""
-    return pii.find_personal_data(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_list"))
+    return pii.find_personal_data(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "name_list"))
 
 
 def p9_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by placeholders."""
-    return pii.mask_personal_data(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_list"))
+    return pii.mask_personal_data(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "name_list"))
 
 
 QUERIES = {
