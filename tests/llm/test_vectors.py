@@ -89,3 +89,16 @@ def test_estimates_stay_within_their_bound():
     off = np.abs(codes.estimate(slice(0, 400)) - x @ x.T)
     off[np.arange(400), np.arange(400)] = 0
     assert (off <= codes.error).mean() > 0.97
+
+
+@pytest.mark.parametrize("s", [0.05, 0.01])
+def test_near_copies_that_fill_cells_are_found(spark, s):
+    # a third of the rows are near-copies; all their cells are over-full
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 64))
+    x[::3] = x[0] + s * rng.normal(size=(1000, 64))
+    x = x.astype(np.float32).astype(np.float64)
+    ids = np.arange(3000) * 4
+    got = {tuple(r) for r in vectors.as_pairs(vectors.most_similar(frame(spark, ids, x), "row_id", "vec", cell_rows=300)).collect()}
+    want = brute(ids, x)
+    assert len(want) > 2500 and len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(got)

@@ -4,8 +4,9 @@ Vectors are spread over cells: random directions (columns of random
 rotations, both signs) act as cell centres and a vector joins the ``probes``
 nearest.  Within a cell randomly rotated one-bit codes with correction scalars
 estimate inner products, their error bound chooses the pairs to rerank, and
-reranking uses the vectors.  A cell above ``cell_rows`` is divided again by the
-residuals from its mean; what no direction can divide is searched in blocks.
+reranking uses the vectors.  A cell above ``cell_rows`` is a dense group that
+random directions can't separate: it is divided into tiles of bounded size that
+together compare every pair of its rows.
 """
 
 from __future__ import annotations
@@ -21,14 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a cell above which it is divided again, and the rows of a block where it can't be.
+#: Rows of a cell above which it is divided, and about the rows of each group it is divided into.
 CELL_ROWS = 24_000
 #: Copies of one vector above which the surplus stays out of the search.
 COPIES = 64
 #: Bits of a query component and the width of the error bound in standard deviations.
 QUERY_BITS, BOUND_Z = 4, 2.5
-#: Cell numbers of level l occupy this many bits above those of level l - 1.
-_LEVEL_BITS, _LEVELS = 18, 2
+#: The most cells, as a power of two.
+_CELL_BITS = 17
+#: Divided cells whose pairs are not searched again in a later divided cell.
+_MASK_BITS = 62
 _SEED = 20_177
 
 
@@ -40,19 +43,19 @@ def rotation(dims: int, seed: int) -> np.ndarray:
 
 
 @functools.cache
-def directions(dims: int, cells: int, level: int) -> np.ndarray:
+def directions(dims: int, cells: int) -> np.ndarray:
     """``dims x cells/2`` unit columns; with both signs they are the cell centres."""
     half = cells // 2
-    blocks = [rotation(dims, 1000 * (level + 1) + i) for i in range(-(-half // dims))]
+    blocks = [rotation(dims, 1000 + i) for i in range(-(-half // dims))]
     return np.concatenate(blocks, axis=1)[:, :half]
 
 
-def nearest_cells(x: np.ndarray, cells: int, probes: int, level: int) -> np.ndarray:
+def nearest_cells(x: np.ndarray, cells: int, probes: int) -> np.ndarray:
     """The ``probes`` nearest of ``cells`` centres for each row."""
     out = np.empty((len(x), probes), np.int64)
     half = cells // 2
     for at in range(0, len(x), 512):
-        y = x[at : at + 512] @ directions(x.shape[1], cells, level)
+        y = x[at : at + 512] @ directions(x.shape[1], cells)
         # the better sign of a direction; both signs of one are never near
         top = np.argpartition(-np.abs(y), probes - 1, axis=1)[:, :probes]
         out[at : at + 512] = top + half * (np.take_along_axis(y, top, 1) < 0)
@@ -63,39 +66,22 @@ def cell_count(rows: int) -> tuple[int, int]:
     """``(cells, probes)`` for a table of ``rows``: about ``4 sqrt(rows)``
     cells, so that both assignment and search grow as the 1.5th power."""
     power = max(4, round(math.log2(4 * math.sqrt(max(rows, 1)))))
-    power = min(power, _LEVEL_BITS - 1)
+    power = min(power, _CELL_BITS)
     return 1 << power, 6 + max(0, power - 12)
 
 
 @dataclass
 class CellPlan:
-    """How vectors are spread: per level the divided cells with their mean and
-    fan-out, and the cells to be searched in blocks."""
+    """How vectors are spread; ``divided`` has for each over-full cell, by
+    level (there is one), the number of groups its rows are divided into."""
 
     cells: int
     probes: int
-    divided: list[dict[int, tuple[np.ndarray, int, int]]] = field(default_factory=list)
-    blocks: dict[int, int] = field(default_factory=dict)
+    divided: list[dict[int, int]] = field(default_factory=list)
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(row, cell)`` of every placement; a cell number holds its path."""
-        cell = nearest_cells(x, self.cells, self.probes, 0).ravel()
-        row = np.repeat(np.arange(len(x)), self.probes)
-        for level, divided in enumerate(self.divided, start=1):
-            if not divided:
-                break
-            hot = np.isin(cell, np.fromiter(divided, np.int64))
-            rows, cells = [row[~hot]], [cell[~hot]]
-            for c, (mean, fan, probes) in divided.items():
-                members = row[hot & (cell == c)]
-                if len(members):
-                    residual = x[members] - mean
-                    residual /= np.maximum(np.linalg.norm(residual, axis=1, keepdims=True), 1e-12)
-                    sub = nearest_cells(residual.astype(np.float32), fan, probes, level)
-                    rows.append(np.repeat(members, probes))
-                    cells.append(c + ((sub.ravel() + 1) << (_LEVEL_BITS * level)))
-            row, cell = np.concatenate(rows), np.concatenate(cells)
-        return row, cell
+        """``(row, cell)`` of every placement, in order of the rows."""
+        return np.repeat(np.arange(len(x)), self.probes), nearest_cells(x, self.cells, self.probes).ravel()
 
 
 def unit_rows(ids: pa.Array, vectors: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,52 +97,64 @@ def unit_rows(ids: pa.Array, vectors: pa.Array, dims: int) -> tuple[np.ndarray,
     return ids.take(pa.array(right)).to_numpy(zero_copy_only=False), x.astype(np.float32)
 
 
-def _count_batches(plan: CellPlan, dims: int, want: set[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows and summed vectors of cells, of all cells or of those wanted."""
-    counts: dict[int, int] = {}
-    sums: dict[int, np.ndarray] = {}
-    wanted = np.fromiter(want, np.int64)
+def _count_batches(plan: CellPlan, dims: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of every cell in a partition."""
+    counts = np.zeros(plan.cells, np.int64)
     for batch in batches:
         _, x = unit_rows(batch.column(0), batch.column(1), dims)
-        row, cell = plan.assign(x)
-        for c, n in zip(*np.unique(cell, return_counts=True)):
-            counts[int(c)] = counts.get(int(c), 0) + int(n)
-        for c in np.unique(cell[np.isin(cell, wanted)]):
-            sums[int(c)] = sums.get(int(c), 0) + x[row[cell == c]].sum(axis=0, dtype=np.float64)
-    cells = [c for c in counts if not want or c in want]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(cells, pa.int64()), pa.array([counts[c] for c in cells], pa.int64()), pa.array([list(sums.get(c, ())) for c in cells], pa.list_(pa.float64()))],
-        names=["cell", "n", "total"],
-    )
+        counts += np.bincount(plan.assign(x)[1], minlength=plan.cells)
+    cells = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(counts[cells], pa.int64())], names=["cell", "n"])
+
+
+def _group_of(ids: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """The group of each id, spread evenly whatever pattern the ids have."""
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % groups
 
 
 def _place_batches(plan: CellPlan, dims: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per placement: cell, query block, id, half-precision vector and
-    whether the row is a query there."""
+    """One row per placement: cell, tile, id, group, earlier divided cells as
+    bits, and the vector.
+
+    A divided cell of ``g`` groups has a tile for each two groups and for each
+    group with itself, so a row is in ``g`` tiles.  Vectors are in half
+    precision, in divided cells in single precision.
+    """
+    groups = plan.divided[0] if plan.divided else {}
+    hot = np.array(sorted(groups), np.int64)
+    sizes = np.array([groups[c] for c in hot], np.int64)
     for batch in batches:
         ids, x = unit_rows(batch.column(0), batch.column(1), dims)
+        ids = ids.astype(np.int64)
         row, cell = plan.assign(x)
-        block, query = np.zeros(len(row), np.int32), np.ones(len(row), bool)
-        for c, blocks in plan.blocks.items():
-            at = np.flatnonzero(cell == c)
-            if len(at):  # a base row in every block, a query in one
-                own = ids[row[at]] % blocks
-                repeated = np.repeat(at, blocks)
-                every = np.tile(np.arange(blocks, dtype=np.int32), len(at))
-                rest = np.flatnonzero(cell != c)
-                row, cell = np.concatenate([row[rest], row[repeated]]), np.concatenate([cell[rest], cell[repeated]])
-                block = np.concatenate([block[rest], every])
-                query = np.concatenate([query[rest], every == np.repeat(own, blocks)])
-        half = x.astype(np.float16)
-        for at in range(0, len(row), 20_000):
-            r = row[at : at + 20_000]
-            data = np.ascontiguousarray(half[r])
-            bounds = (np.arange(len(r) + 1) * (2 * dims)).astype(np.int32)
-            binary = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data.tobytes())])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cell[at : at + 20_000]), pa.array(block[at : at + 20_000]), pa.array(ids[r].astype(np.int64)), pa.array(query[at : at + 20_000]), binary],
-                names=["cell", "block", "id", "query", "v"],
-            )
+        at = np.searchsorted(hot, cell)
+        inside = np.zeros(len(cell), bool)
+        if len(hot):
+            inside = hot[np.minimum(at, len(hot) - 1)] == cell
+        bits = np.where(inside & (at < _MASK_BITS), np.int64(1) << np.minimum(at, _MASK_BITS), 0)
+        member = np.bitwise_or.reduce(bits.reshape(-1, plan.probes), axis=1) if len(x) else bits
+        cold = np.flatnonzero(~inside)
+        none = np.zeros(len(cold), np.int64)
+        yield from _placements(cell[cold], none, ids[row[cold]], none, none, x.astype(np.float16), row[cold])
+        rows, where = row[inside], at[inside]
+        if len(rows):
+            n = sizes[where]
+            seen = member[rows] & ((np.int64(1) << np.minimum(where, _MASK_BITS)) - 1)
+            own = _group_of(ids[rows], n)
+            each = np.repeat(np.arange(len(rows)), n)
+            other = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+            tile = np.minimum(own[each], other) * n[each] + np.maximum(own[each], other)
+            yield from _placements(hot[where][each], tile, ids[rows[each]], own[each], seen[each], x, rows[each])
+
+
+def _placements(cell, tile, ids, group, seen, x: np.ndarray, row: np.ndarray) -> Iterator[pa.RecordBatch]:
+    width = x.shape[1] * x.itemsize
+    for at in range(0, len(row), 20_000):
+        part = slice(at, at + 20_000)
+        data = np.ascontiguousarray(x[row[part]])
+        bounds = (np.arange(len(data) + 1) * width).astype(np.int32)
+        binary = pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data.tobytes())])
+        yield pa.RecordBatch.from_arrays([*(pa.array(c[part]) for c in (cell, tile, ids, group, seen)), binary], names=["cell", "tile", "id", "group", "seen", "v"])
 
 
 class BitCodes:
@@ -199,18 +197,34 @@ class BitCodes:
         return signed / (math.sqrt(self.dims) * self.fit[None, :])
 
 
-def search_cell(ids: np.ndarray, x: np.ndarray, query: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(id, other, cosine)``: for each query its at most ``k`` nearest other
+def _nearest(ids: np.ndarray, x: np.ndarray, rows: np.ndarray, a: np.ndarray, b: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of candidates ``b`` for the queries ``rows[a]`` the best by the vectors."""
+    cosine = np.einsum("ij,ij->i", x[rows[a]], x[b], dtype=np.float64)
+    keep = cosine >= least
+    a, b, cosine = a[keep], b[keep], cosine[keep]
+    order = np.lexsort((ids[b], -cosine, a))
+    a, b, cosine = a[order], b[order], cosine[order]
+    start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, int)
+    rank = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
+    top = rank < k
+    return ids[rows[a[top]]], ids[b[top]], cosine[top]
+
+
+def _joined(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    return tuple(np.concatenate(part) for part in zip(*found)) if found else tuple(np.empty(0) for _ in range(3))
+
+
+def search_cell(ids: np.ndarray, x: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(id, other, cosine)``: for each id its at most ``k`` nearest other
     ids in the cell with cosine ``least`` or more, ties to the smaller id."""
     ids, first = np.unique(ids, return_index=True)
-    x, query = x[first], np.flatnonzero(query[first])
-    found = ([], [], [])
+    x, found = x[first], []
     if len(ids) < 2:
-        return tuple(np.empty(0) for _ in found)
+        return _joined(found)
     codes = BitCodes(x)
-    size = max(1, min(len(query) or 1, 400_000 // len(ids)))
-    for at in range(0, len(query), size):
-        rows = query[at : at + size]
+    size = max(1, min(len(ids), 400_000 // len(ids)))
+    for at in range(0, len(ids), size):
+        rows = np.arange(at, min(at + size, len(ids)))
         estimate = codes.estimate(rows)
         estimate[np.arange(len(rows)), rows] = -9
         maybe = estimate + codes.error >= least
@@ -221,50 +235,90 @@ def search_cell(ids: np.ndarray, x: np.ndarray, query: np.ndarray, k: int, least
             kth = -np.partition(-low, k - 1, axis=1)[:, k - 1 : k]
             maybe[crowded] &= estimate[crowded] + codes.error >= kth
         a, b = np.nonzero(maybe)
-        if not len(a):
-            continue
-        cosine = np.einsum("ij,ij->i", x[rows[a]], x[b], dtype=np.float64)
-        keep = cosine >= least
-        a, b, cosine = a[keep], b[keep], cosine[keep]
-        order = np.lexsort((ids[b], -cosine, a))
-        a, b, cosine = a[order], b[order], cosine[order]
-        start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, int)
-        rank = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a))))
-        top = rank < k
-        for part, values in zip(found, (ids[rows[a[top]]], ids[b[top]], cosine[top])):
-            part.append(values)
-    return tuple(np.concatenate(part) if part else np.empty(0) for part in found)
-
-
-def _search_batches(dims: int, k: int, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Search the cells of a partition, which come sorted, one at a time."""
-
-    def result(parts: list[tuple]) -> pa.RecordBatch:
-        ids, x, query = (np.concatenate(p) for p in zip(*parts))
+        if len(a) > 0.05 * maybe.size and len(ids) > 1000:
+            # the filter does not separate near-copies: comparing all pairs is cheaper
+            none = np.zeros(len(ids), np.int64)
+            return search_tile(ids, x, none, none, k, least)
+        if len(a):
+            found.append(_nearest(ids, x, rows, a, b, k, least))
+    return _joined(found)
+
+
+def search_tile(ids: np.ndarray, x: np.ndarray, group: np.ndarray, seen: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like :func:`search_cell`, without a filter, for the pairs of two groups
+    of a divided cell (or of one with itself).
+
+    All pairs are compared but those that share an earlier divided cell, which
+    meet there.  Rows are compared as residuals from their mean, so that the
+    order among near-copies is that of the vectors.
+    """
+    ids, first = np.unique(ids, return_index=True)
+    x, group, seen, found = x[first], group[first], seen[first], []
+    residual = (x - x.mean(axis=0, dtype=np.float64)).astype(np.float32)
+    half = (residual.astype(np.float64) ** 2).sum(axis=1) / 2
+    slack = np.float32(4e-6 * half.max(initial=0))  # rounding of a score
+    half = half.astype(np.float32)
+    numbers = np.unique(group)
+    for mine in numbers:
+        # a tile of one group compares it with itself, one of two each with the other
+        others = np.flatnonzero(group != mine) if len(numbers) > 1 else np.arange(len(ids))
+        queries = np.flatnonzero(group == mine)
+        for mark in np.unique(seen[queries]):
+            base = others[(seen[others] & mark) == 0]
+            same = queries[seen[queries] == mark]
+            if not len(base):
+                continue
+            size = max(1, 2_000_000 // len(base))
+            for at in range(0, len(same), size):
+                rows = same[at : at + size]
+                score = residual[rows] @ residual[base].T  # less half the squared distance, but for the query's part
+                score -= half[base]
+                if len(numbers) == 1 and not mark:
+                    score[np.arange(len(rows)), np.searchsorted(base, rows)] = -np.inf
+                width = max(len(base) // 32, 1)
+                best = score[:, :width].copy()
+                for i in range(width, len(base) // width * width, width):
+                    np.maximum(best, score[:, i : i + width], out=best)
+                if width < k:
+                    best = score
+                # the k-th best of the maxima is no more than the k-th best of all
+                kth = -np.partition(-best, k - 1, axis=1)[:, k - 1 : k] if best.shape[1] >= k else np.float32(-np.inf)
+                a, b = np.nonzero((score >= kth - slack) & (score > -np.inf))
+                found.append(_nearest(ids, x, rows, a, base[b], k, least))
+    return _joined(found)
+
+
+def _search_batches(plan: CellPlan, dims: int, k: int, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Search the tiles of a partition, which come sorted, one at a time."""
+    divided = plan.divided[0] if plan.divided else {}
+
+    def result(cell: int, parts: list[tuple]) -> pa.RecordBatch:
+        ids, x, group, seen = (np.concatenate(p) for p in zip(*parts))
         # half precision costs about 3e-5 of a cosine; rows are made unit again
         x = x.astype(np.float32)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        a, b, c = search_cell(ids, x, query, k, least)
+        a, b, c = search_tile(ids, x, group, seen, k, least) if cell in divided else search_cell(ids, x, k, least)
         return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(c.astype(np.float64))], names=["id", "other", "cosine"])
 
     current, parts = None, []
     for batch in batches:
-        cell, block, ids, query = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        binary = batch.column(4)
-        begin = np.frombuffer(binary.buffers()[1], np.int32)[binary.offset]
-        x = np.frombuffer(binary.buffers()[2], np.float16, len(ids) * dims, begin).reshape(-1, dims)
-        cuts = np.flatnonzero((cell[1:] != cell[:-1]) | (block[1:] != block[:-1])) + 1
+        cell, tile, ids, group, seen = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        binary = batch.column(5)
+        bounds = np.frombuffer(binary.buffers()[1], np.int32)[binary.offset : binary.offset + len(ids) + 1]
+        cuts = np.flatnonzero((cell[1:] != cell[:-1]) | (tile[1:] != tile[:-1])) + 1
         for s, e in zip([0, *cuts], [*cuts, len(ids)]):
             if s == e:
                 continue
-            key = (cell[s], block[s])
+            key = (int(cell[s]), int(tile[s]))
             if key != current and parts:
-                yield result(parts)
+                yield result(current[0], parts)
                 parts = []
             current = key
-            parts.append((ids[s:e], x[s:e].copy(), query[s:e]))
+            kind = np.float32 if key[0] in divided else np.float16
+            x = np.frombuffer(binary.buffers()[2], kind, (e - s) * dims, bounds[s]).reshape(-1, dims)
+            parts.append((ids[s:e], x.copy(), group[s:e], seen[s:e]))
     if parts:
-        yield result(parts)
+        yield result(current[0], parts)
 
 
 def _smallest_ids(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,30 +356,12 @@ def _split_copies(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]
 def plan_cells(rows: DataFrame, dims: int, cell_rows: int = CELL_ROWS) -> CellPlan:
     """Count placements and divide cells above ``cell_rows``.
 
-    The driver gets one number per cell (at most ``2^17`` a level) and the
-    mean of every divided cell; there are at most ``probes * rows /
-    cell_rows`` of those.
+    The driver gets one number per over-full cell, at most ``2^17``.
     """
     plan = CellPlan(*cell_count(rows.count()))
-
-    def counted(want: set[int]) -> list:
-        out = rows.mapInArrow(lambda it: _count_batches(plan, dims, want, it), "cell long, n long, total array<double>")
-        if want:
-            return out.collect()
-        return out.groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > cell_rows).collect()
-
-    for level in range(_LEVELS + 1):
-        large = {r["cell"]: r["n"] for r in counted(set())}
-        large = {c: n for c, n in large.items() if c >> (_LEVEL_BITS * level) or level == 0}
-        if not large:
-            break
-        if level == _LEVELS:
-            plan.blocks = {c: -(-n // cell_rows) for c, n in large.items()}
-            break
-        sums: dict[int, np.ndarray] = {}
-        for r in counted(set(large)):
-            sums[r["cell"]] = sums.get(r["cell"], 0) + np.array(r["total"])
-        plan.divided.append({c: ((sums[c] / n).astype(np.float32), *cell_count(n)) for c, n in large.items()})
+    counted = rows.mapInArrow(lambda it: _count_batches(plan, dims, it), "cell long, n long")
+    large = counted.groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") > cell_rows).collect()
+    plan.divided.append({r["cell"]: -(-r["n"] // cell_rows) for r in large})
     return plan
 
 
@@ -348,11 +384,11 @@ def most_similar(df: DataFrame, row_id: str, vector: str, dims: int = 64, k: int
     plan = plan_cells(rows, dims, cell_rows)
     shared = spark.sparkContext.broadcast(plan)  # bounded, see plan_cells
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    placed = rows.mapInArrow(lambda it: _place_batches(shared.value, dims, it), "cell long, block int, id long, query boolean, v binary")
+    placed = rows.mapInArrow(lambda it: _place_batches(shared.value, dims, it), "cell long, tile long, id long, group long, seen long, v binary")
     hits = (
-        placed.repartition(width, "cell", "block")
-        .sortWithinPartitions("cell", "block")
-        .mapInArrow(lambda it: _search_batches(dims, k, least, it), "id long, other long, cosine double")
+        placed.repartition(width, "cell", "tile")
+        .sortWithinPartitions("cell", "tile")
+        .mapInArrow(lambda it: _search_batches(shared.value, dims, k, least, it), "id long, other long, cosine double")
     )
     best = hits.repartition(width, "id").groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))
