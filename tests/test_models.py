@@ -206,3 +206,13 @@ def test_streamed_counts(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {tuple(r) for r in spark.table("counted").collect()} == {("a", 2), ("b", 1)}
+
+
+def test_registered_training_reaches_its_epochs(spark, monkeypatch):
+    from wordloom.plans import models
+
+    seen, fit = [], models.fit
+    monkeypatch.setattr(models, "fit", lambda *a, **k: seen.append(fit(*a, **k)) or seen[-1])
+    models.trained_model(spark, "/root/testdata/sf0.001")
+    vocab, _, trained = seen[0]
+    assert trained.tokens >= vocab.n_tokens and len(trained.losses) > 1

@@ -160,9 +160,9 @@ def model_text_rows(spark, d):
 
 
 def trained_model(spark, d):
-    """A window model trained for one pass over documents: word and unit vector."""
+    """A window model trained for one epoch of documents (kept tokens, so several passes): word and unit vector."""
     config = RunConfig("documents", "", CommonConfig(dims=DIMS, epochs=1, negative_samples=3), SimpleVocabConfig(), SkipGramConfig(context_size=3))
-    _, final, _ = fit(spark, config, sentences(spark, d), max_steps=1)
+    _, final, _ = fit(spark, config, sentences(spark, d))
     return final.select("idx", "label", "vec", "norm")
 
 
