@@ -216,3 +216,24 @@ def test_registered_training_reaches_its_epochs(spark, monkeypatch):
     models.trained_model(spark, "/root/testdata/sf0.001")
     vocab, _, trained = seen[0]
     assert trained.tokens >= vocab.n_tokens and len(trained.losses) > 1
+
+
+def test_many_parts_train_like_one(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, [f"a{w}", f"b{w}"] * 3) for i, w in enumerate(rng.integers(4, size=500).tolist())]
+    sentences = spark.createDataFrame(rows, "sent_id long, tokens array<string>")
+    config = RunConfig("x", "y", CommonConfig(dims=8, epochs=1, negative_samples=3, lr=0.03), SimpleVocabConfig(Cutoff("MinCount", 1), 1e9), SkipGramConfig(context_size=2))
+    last = []
+    for tokens in (20_000, 600):  # one part, 5 parts a pass
+        monkeypatch.setattr(cli.examples, "PART_TOKENS", tokens)
+        trained = cli.fit(spark, config, sentences)[2]
+        # judged on the same examples: one pass at rate 0
+        last.append(train.super_step(*_judged(spark, sentences, config, trained))[1])
+    a, b = (s.loss / s.positives for s in last)
+    assert b == pytest.approx(a, rel=0.1)
+
+
+def _judged(spark, sentences, config, trained):
+    vocab = cli.build_vocabulary(sentences.select(F.explode("tokens").alias("token")), config.vocab)
+    ex = cli.examples.window_examples(sentences, vocab.table, config.model, vocab.size, 3, 0.5, 1, 9)
+    return ex, trained.params, 0.0

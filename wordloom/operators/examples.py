@@ -16,7 +16,7 @@ from wordloom.operators.sampling import negative_draws
 from wordloom.operators.subwords import input_ids
 
 #: Focus tokens of one part of a super-step, whatever the corpus.
-PART_TOKENS = 20_000
+PART_TOKENS = 100_000
 
 
 def _draw_batches(n: int, band: int, ns: int, exponent: float, epoch: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

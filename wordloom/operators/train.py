@@ -152,11 +152,10 @@ def _train_part(lr: float):
 
 
 def super_step(examples: DataFrame, params: DataFrame, lr: float) -> tuple[DataFrame, StepStats]:
-    """One pass over ``examples`` (``part, sent_id, pos, ids, outputs,
-    negatives``) with the parameter rows each part touches; parts are of
-    bounded size.  Deltas of a row are averaged over the parts that changed it.
+    """Train on ``examples`` (``part, sent_id, pos, ids, outputs, negatives``;
+    a durable table, read three times) of one part with the parameter rows it
+    touches.  Deltas are applied in full.
     """
-    examples = written(examples)  # read three times below
     touched = examples.select("part", F.explode("ids").alias("row_id")).distinct().withColumn("matrix", F.lit(INPUT))
     out = examples.select("part", F.explode(F.concat("outputs", "negatives")).alias("row_id")).distinct().withColumn("matrix", F.lit(OUTPUT))
     needed = touched.unionByName(out).join(params, ["matrix", "row_id"]).select(F.col("part").alias("at"), "matrix", "row_id", "vec")
@@ -172,7 +171,7 @@ def super_step(examples: DataFrame, params: DataFrame, lr: float) -> tuple[DataF
         changes.where("matrix >= 0")
         .select("matrix", "row_id", F.posexplode("delta").alias("dim", "d"))
         .groupBy("matrix", "row_id", "dim")
-        .agg(F.avg("d").alias("d"))
+        .agg(F.sum("d").alias("d"))
         .groupBy("matrix", "row_id")
         .agg(F.sort_array(F.collect_list(F.struct("dim", "d"))).alias("delta"))
     )
@@ -198,19 +197,26 @@ class Trained:
 def train(make_examples, params: DataFrame, n_tokens: int, config: CommonConfig, max_steps: int | None = None) -> Trained:
     """Super-steps until the kept focus tokens reach ``epochs * n_tokens``.
 
-    ``make_examples(epoch)`` gives the examples of one pass over the corpus.
-    Since subsampling drops tokens, more passes than ``epochs`` may be needed;
-    ``max_steps`` bounds them.  A pass without any token is an error.
+    ``make_examples(epoch)`` gives the examples of one pass over the corpus,
+    a super-step takes one of its parts, and the next goes on from its result:
+    summed, the deltas of parts that start from the same rows overshoot, and
+    averaged they lose most updates of frequent rows.  Since subsampling drops
+    tokens, more passes than ``epochs`` may be needed; ``max_steps`` bounds
+    them.  A pass without any token is an error.
     """
     shared_dir(params.sparkSession)
     params, losses, processed, epoch = written(params), [], 0, 0
     while processed < config.epochs * n_tokens and (max_steps is None or epoch < max_steps):
-        rate = learning_rate(processed, config.epochs, n_tokens, config.lr)
-        params, stats = super_step(make_examples(epoch), params, rate)
-        if not stats.tokens:
+        examples, before = written(make_examples(epoch).withColumn("step", F.col("part")), ["step"]), processed
+        for i in sorted(r[0] for r in examples.select("step").distinct().collect()):
+            rate = learning_rate(processed, config.epochs, n_tokens, config.lr)
+            params, stats = super_step(examples.where(F.col("step") == i).drop("step"), params, rate)
+            losses.append(stats.loss / max(stats.positives, 1))
+            processed += stats.tokens
+            if processed >= config.epochs * n_tokens:
+                break
+        if processed == before:
             raise ValueError("the corpus provides no sentences to train on")
-        losses.append(stats.loss / max(stats.positives, 1))
-        processed += stats.tokens
         epoch += 1
     return Trained(params, losses, processed)
 
