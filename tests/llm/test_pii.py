@@ -64,3 +64,21 @@ def test_query_shape_nulls_and_repeats(spark):
     masked = {r[0]: r[1] for r in pii.mask_personal_data(df.where("doc_id > 1"), names.limit(0)).collect()}
     assert masked[2] is None and masked[3] == "" and masked[4].endswith("x <EMAIL>")
     assert pii.find_personal_data(df.limit(0), names).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, address",
+    [
+        ("We are at 11 Hollow Bridge now", "11 Hollow Bridge"),
+        ("Office: 35 Hollow Bridge", "35 Hollow Bridge"),
+        ("visit us (72 Hollow Bridge, 18513 Hollowmere)", "72 Hollow Bridge"),
+        ("ours is 72 Hollow Bridge, 18513 Hollowmere", "72 Hollow Bridge"),
+        ("Office: 5B Upper Fen Close It works", "5B Upper Fen Close"),
+        ("go to 12 Old Mill Ln", "12 Old Mill Ln"),
+        ("bei Lindenhof 12", "Lindenhof 12"),
+        ("le 5 ruelle des Lilas", "5 ruelle des Lilas"),
+        ("en Rambla de Flores 14", "Rambla de Flores 14"),
+    ],
+)
+def test_addresses_within_a_line(spotter, text, address):
+    assert [(k, text[s:e]) for s, e, k in spotter.find(text)] == [("address", address)]

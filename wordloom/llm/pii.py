@@ -153,6 +153,23 @@ _FR = r"(?:rue|Rue|av\.|Av\.|avenue|Avenue|bd|Bd|boulevard|Boulevard|place|Place
 _FR_LINK = r"(?:de la |de l['’]|des |du |aux |au |à la |à l['’]|de |d['’]|la |le |les |l['’]|Les |La |Le |L['’])?"
 _ES = r"(?:Calle|calle|C/|c/|Avda\.|avda\.|Av\.|Avenida|avenida|Plaza|plaza|Pza\.|Paseo|paseo|Camino|camino|Cuesta|cuesta|Ronda|ronda|Bajada|bajada|Arrabal|arrabal|Travesía|travesía|Carrera|Glorieta|Callejón|Rambla|Carretera|Ctra\.|Costanilla|Pasaje)"
 _ES_LINK = r"(?:de las |de los |de la |del |de )?"
+#: Phrases after which an address stands, whatever its street word.
+ADDRESS_PHRASES = (
+    "We are at", "we are at", "Visit us", "visit us", "Visit us at", "visit us at", "Office:", "office:", "Address:", "address:", "went to", "print-outs to", "located at", "lives at", "live at", "sent to", "moved to",
+    "Anschrift:", "Adresse:", "Abholung:", "sitzen jetzt in:", "gehen an", "Adresse :", "sommes au", "partent au", "livraison", "Dirección:", "Estamos en", "van a", "entrega",
+)
+_PHRASE = rf"(?:{'|'.join(sorted(map(re.escape, ADDRESS_PHRASES), key=len, reverse=True))}) ?\(?"
+_TOWN = rf"\d{{5}} [{_UP}]"
+# Capital words that begin the next sentence.
+_NEXT = r"(?!(?:We|It|I|The|This|That|They|He|She|You|Is|In|On|At|Has|How|What|Das|Die|Der|Wir|Es|Ein|El|La|Los|Le|Les|Il|Nous|On)\b)"
+_NAMED = rf"{_CAP}(?: {_NEXT}{_CAP}){{1,3}}"
+#: Addresses known by what stands around them; the group is the address.
+_INLINE = (
+    re.compile(rf"(?<!\w){_PHRASE}({_NUMBER},? {_NAMED})"),
+    re.compile(rf"(?<!\w){_PHRASE}({_NAMED},? {_NUMBER})(?!\w|[.,]\d| \d\d\d)"),
+    re.compile(rf"(?<![\w/.,-])({_NUMBER},? {_NAMED})(?=, {_TOWN})"),
+    re.compile(rf"(?<![\w/.,-])({_NAMED},? {_NUMBER})(?=, {_TOWN})"),
+)
 _ADDRESSES = tuple(
     re.compile(rf"(?<![\w/.,-]){body}")
     for body in (
@@ -162,24 +179,34 @@ _ADDRESSES = tuple(
         rf"{_ES} {_ES_LINK}{_CAP}(?: (?:de la |de los |de las |del |de |y )?{_CAP}){{0,2}},? (?:n\.?º ?|núm\. |nº )?{_NUMBER}(?!\w|[.,]\d)",
     )
 )
-#: What may stand before an address on its line.
+
+
+def _words(pattern: str) -> list[str]:
+    """The words of an alternation of street words, without optional signs."""
+    plain = pattern.removeprefix("(?:").split(")")[0].replace(r"\b", "").replace(r"\.?", "").replace(r"\.", ".")
+    return plain.split("|")
+
+
+#: What lies on the line of an address: the words of the patterns, and the phrases.
 ADDRESS_CUES = (
-    " Road", " Rd", " Street", " St", " Ave", " Lane", " Drive", " Close", " Row", " Gate", " Hill", " Terrace", " Crescent", " Sq", " Court",
-    " Place", " Way", " Mews", " Walk", " Green", " Grove", " Gardens", " Park", " Yard", " Quay", " The ", " Boulevard",
-    "straße ", "strasse ", "str. ", "gasse ", "weg ", "allee ", "platz ", "ring ", "ufer ", "damm ", "steig ", "Straße ", "Str. ", "Gasse ", "Weg ",
-    "Allee ", "Platz ", "Ring ", "Ufer ", "Damm ", "Steig ", "An der ", "Am ", "Zum ", "Zur ", "Im ", "In der ", "Hinterm ", "Auf de", "Unter den ", "Alte", "Neue",
-    " rue ", " av. ", " avenue ", " bd ", " boulevard ", " place ", " impasse ", " chemin ", " quai ", " allée ", " cours ", " lieu-dit ", " route ", " square ", " passage ",
-    "Calle ", "calle ", "C/ ", "Avda. ", "Avenida ", "Plaza ", "plaza ", "Paseo ", "paseo ", "Camino ", "camino ", "Cuesta ", "Ronda ", "Bajada ", "Arrabal ", "Travesía ", "avda. ", "cuesta ", "ronda ", "arrabal ", "bajada ",
-)
+    *(f" {w}" for w in (*_words(_EN), "The ")),
+    *(f"{w} " for w in (*_words(_DE_TAIL), *_words(_DE_WORD), *_words(_DE_PREP), *_words(_ES))),
+    *(f" {w} " for w in _words(_FR)),
+    *ADDRESS_PHRASES,
+)
 _POSTCODE = re.compile(rf"(?:^|[ \t(])\d{{5}} (?=[{_UP}])", re.M)
 _STREET_LINE = re.compile(rf"(?:[^\W\d_][\w .’'/-]*?:\s*)?((?=[^\n]*\d)[\w/][\w .,’'ºª/–-]*[\w.])\s*$")
 
 
 def _address(text: str, left: int, right: int) -> Iterator[tuple[int, int]]:
     """Addresses of known form that lie in one line ``[left, right)``."""
-    for pattern in _ADDRESSES:
+    known = [found.span() for pattern in _ADDRESSES for found in pattern.finditer(text, left, right)]
+    yield from known
+    for pattern in _INLINE:
         for found in pattern.finditer(text, left, right):
-            yield found.span()
+            start, end = found.span(1)
+            if all(end <= s or e <= start for s, e in known):
+                yield start, end
 
 
 def _before_postcode(text: str, at: int) -> tuple[int, int] | None:
@@ -392,6 +419,8 @@ class Spotter:
             span = _phone(text, found.end(), False)
             if span:
                 spans.append((*span, "phone"))
+        for found in _POSTCODE.finditer(text):
+            lines["address"][text.rfind("\n", 0, found.end()) + 1] = True
         for kind, starts in lines.items():
             for left in starts:
                 right = text.find("\n", left)
