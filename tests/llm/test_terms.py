@@ -85,3 +85,10 @@ def test_intervals_and_top_items(spark):
 def test_no_items_at_all(spark):
     empty = spark.createDataFrame([], "item string, weight long")
     assert frequent_items(empty).count() == 0 and top_items(empty, 3).count() == 0
+
+
+def test_top_items_of_a_flat_column(spark):
+    # every item weighs less than the pruning bound, and the heaviest come first
+    rows = spark.range(0, 6000, 1, 2).selectExpr("cast(id % 3000 as string) item", "if(id % 3000 < 5, 2L, 1L) weight")
+    got = [(r["item"], r["total"]) for r in top_items(rows, 5, 0.05).collect()]
+    assert got == [(str(i), 4) for i in range(5)]

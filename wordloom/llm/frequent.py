@@ -67,6 +67,10 @@ def _summarise(eps: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
     )
 
 
+def _counted(records: DataFrame) -> DataFrame:
+    return records.where(F.col("item").isNotNull() & (F.col("weight") > 0)).select("item", F.col("weight").cast("long").alias("weight"))
+
+
 def frequent_items(records: DataFrame, eps: float = 1e-4) -> DataFrame:
     """``(item, lower, upper)`` for every item some summary kept.
 
@@ -75,14 +79,19 @@ def frequent_items(records: DataFrame, eps: float = 1e-4) -> DataFrame:
     weighs at most ``eps`` of the total.  Null items and weights that are null
     or not positive take no part; an empty table gives no rows.
     """
-    clean = records.where(F.col("item").isNotNull() & (F.col("weight") > 0)).select("item", F.col("weight").cast("long").alias("weight"))
-    summary = written(clean.mapInArrow(lambda it: _summarise(eps, it), "item string, counted long, delta long, bound long"))
+    return _intervals(records, eps)[0]
+
+
+def _intervals(records: DataFrame, eps: float) -> tuple[DataFrame, int]:
+    """:func:`frequent_items` and the most that a missing item can weigh."""
+    summary = written(_counted(records).mapInArrow(lambda it: _summarise(eps, it), "item string, counted long, delta long, bound long"))
     bound = summary.where(F.col("item").isNull()).agg(F.sum("bound")).first()[0] or 0
     merged = summary.where(F.col("item").isNotNull()).groupBy("item")
     # a partition without the item may have pruned up to its own bound
-    return merged.agg(F.sum("counted").alias("lower"), F.sum(F.col("delta") - F.col("bound")).alias("_gap")).select(
+    out = merged.agg(F.sum("counted").alias("lower"), F.sum(F.col("delta") - F.col("bound")).alias("_gap")).select(
         "item", "lower", (F.col("lower") + F.lit(bound) + F.col("_gap")).alias("upper")
     )
+    return out, bound
 
 
 def top_items(records: DataFrame, k: int, eps: float = 1e-4) -> DataFrame:
@@ -90,10 +99,15 @@ def top_items(records: DataFrame, k: int, eps: float = 1e-4) -> DataFrame:
 
     Every item whose interval reaches the ``k``-th greatest lower bound is a
     candidate (so the true top ``k`` are among them); an exact recount of the
-    candidates alone gives ``total`` and the final order, ties by item.
+    candidates alone gives ``total`` and the final order, ties by item.  Where a
+    missing item might weigh as much as that bound, all items are summed.
     """
-    intervals = written(frequent_items(records, eps))
-    floor = intervals.orderBy(F.desc("lower")).limit(k).agg(F.min("lower")).first()[0]
+    intervals, bound = _intervals(records, eps)
+    intervals = written(intervals)
+    floor, kept = intervals.orderBy(F.desc("lower")).limit(k).agg(F.min("lower"), F.count(F.lit(1))).first()
+    if bound and (kept < k or floor <= bound):
+        total = _counted(records).groupBy("item").agg(F.sum("weight").alias("total"))
+        return total.select("item", F.col("total").alias("lower"), F.col("total").alias("upper"), "total").orderBy(F.desc("total"), "item").limit(k)
     candidates = intervals.where(F.col("upper") >= F.lit(floor if floor is not None else 0))
     exact = (
         records.join(candidates.select("item"), "item", "left_semi")
