@@ -11,9 +11,9 @@ from wordloom.config import (
     NGramConfig, RunConfig, SimpleVocabConfig, SkipGramConfig, SubwordKind, SubwordVocabConfig,
 )
 from wordloom.durable import written
-from wordloom.operators import deps, examples, train
+from wordloom.operators import train
 from wordloom.operators.sampling import initial_vectors
-from wordloom.operators.vocab import build_vocabulary, context_vocabulary
+from wordloom.operators.trainers import trainer_for
 from wordloom.sources import corpus, sinks
 from pyspark.sql import functions as F
 
@@ -98,28 +98,15 @@ def initial_params(spark: SparkSession, vocab: DataFrame, n_outputs: int, dims:
     return inn.unionByName(out)
 
 
-def fit(spark: SparkSession, config: RunConfig, source: DataFrame, max_steps: int | None = None):
+def fit(spark: SparkSession, config: RunConfig, source: DataFrame, max_passes: int | None = None):
     """Train on sentences ``(sent_id, tokens)`` or trees ``(sent_id, nodes)``;
     returns ``(vocabulary, final vectors, trained)``."""
-    common = config.common
-    source = written(source)
-    if isinstance(config.model, SkipGramConfig):
-        vocab = build_vocabulary(source.select(F.explode("tokens").alias("token")), config.vocab)
-        n_outputs = vocab.size * config.model.model.band(config.model.context_size)
-        parts = examples.parts_for(vocab.n_tokens)
-        make = lambda epoch: examples.window_examples(
-            source, vocab.table, config.model, vocab.size, common.negative_samples, common.zipf_exponent, parts, epoch)
-    else:
-        vocab = build_vocabulary(source.select(F.explode("nodes.form").alias("token")), config.vocab)
-        contexts = written(deps.dependency_contexts(source, config.model))
-        ranked = written(context_vocabulary(contexts, config.model.context_cutoff, config.model.context_discard))
-        n_outputs = ranked.count()
-        parts = examples.parts_for(vocab.n_tokens)
-        make = lambda epoch: examples.dependency_examples(
-            source, contexts, vocab.table, ranked, n_outputs, common.negative_samples, common.zipf_exponent, parts, epoch)
+    trainer = trainer_for(written(source), config)
+    vocab = trainer.vocab
     if not vocab.size:
         raise ValueError("the corpus provides no sentences to train on")
-    trained = train.train(make, initial_params(spark, vocab.table, n_outputs, common.dims), vocab.n_tokens, common, max_steps)
+    start = initial_params(spark, vocab.table, trainer.n_output_types, config.common.dims)
+    trained = train.train(trainer, start, vocab.n_tokens, config.common, max_passes)
     return vocab, train.final_vectors(vocab.table, trained.params), trained
 
 

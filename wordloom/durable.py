@@ -45,13 +45,8 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a scan of it.
-
-    Lineage ends at the written files, so neither a lost executor nor a
-    repeated action recomputes what came before.  The files go when the
-    driver ends.
-    """
+def written_at(df: DataFrame, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
+    """:func:`written`, and the path for :func:`remove` once nothing reads it any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/wordloom-{uuid.uuid4().hex}"
     writer = df.write
@@ -59,4 +54,14 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     atexit.register(_remove_at_exit, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and return a scan of it.
+
+    Lineage ends at the written files, so neither a lost executor nor a
+    repeated action recomputes what came before.  The files go when the
+    driver ends.
+    """
+    return written_at(df, partition_by)[0]

@@ -108,9 +108,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def hashed_uniform(*parts: np.ndarray | int) -> np.ndarray:
     """Numbers in [0, 1) by the key of all parts, vectorised."""
-    h = np.uint64(0x9E3779B97F4A7C15)
+    h, golden = np.full(1, 0x9E3779B97F4A7C15, np.uint64), np.uint64(0x9E3779B97F4A7C15)
     for part in parts:
-        h = _mix(np.asarray(part, np.int64).astype(np.uint64) + h + np.uint64(0x9E3779B97F4A7C15))
+        h = _mix(np.atleast_1d(np.asarray(part, np.int64)).astype(np.uint64) + h + golden)
     return (h >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 

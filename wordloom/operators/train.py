@@ -1,29 +1,47 @@
-"""Training: the relational gradient step and the partition trainer.
+"""Training: the relational gradient step and the part-parallel trainer.
 
 ``relational_step`` is one synchronous step in DataFrame operations.  The
-partition trainer runs the sequential order (the focus mean once per focus,
-the old output vector for the input delta, the delta in full to every input
-row) in NumPy inside each partition on a copy of the rows it touches, then
-merges the deltas; one super-step is one Spark job over a durable table.
+trainer runs super-steps.  The parts of a step train in parallel, each in the
+sequential order (the focus mean once per focus, the old output vector for the
+input delta, the delta in full to every input row) in NumPy on a copy of the
+rows it touches; then the deltas of a row are merged.  One super-step is one
+pass of Spark jobs over durable tables.
+
+Steps grow with the progress: the first ones are single parts, later ones take
+a fixed share of all that was trained before, cut into parts of bounded size.
+A row thus never misses more than that share of its own history, whatever the
+corpus, and the number of steps is logarithmic in it.
 """
 
 from __future__ import annotations
 
+import logging
 import math
-from dataclasses import dataclass
+import time
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.config import CommonConfig
-from wordloom.durable import shared_dir, written
+from wordloom.durable import remove, shared_dir, written_at
 from wordloom.functions.vectors import logistic_loss
+from wordloom.operators.examples import Layout, Work
 
 PARAMS = "matrix int, row_id long, vec array<float>"
 INPUT, OUTPUT = 0, 1
+#: Focus tokens of one part, the memory bound of a task.
+PART_TOKENS = 20_000
+#: Share of the tokens trained so far that one step may add, and its most parts.
+GROWTH, MAX_PARTS = 0.25, 4096
+#: The curvature of the logistic loss is taken as no less than this share of the gradient.
+LEAST_CURVE = 0.25
 
+log = logging.getLogger("wordloom")
 
 def learning_rate(processed: int, epochs: int, n_tokens: int, lr: float) -> float:
     """The rate after ``processed`` kept focus tokens, never below 0."""
@@ -75,114 +93,226 @@ class StepStats:
     tokens: int
 
 
-def sequential_pass(examples: list[tuple[np.ndarray, np.ndarray]], rows_in: np.ndarray, rows_out: np.ndarray, lr: float) -> float:
+def sequential_pass(
+    examples: list[tuple[np.ndarray, np.ndarray]], rows_in: np.ndarray, rows_out: np.ndarray, rates, curve_in: np.ndarray | None = None, curve_out: np.ndarray | None = None
+) -> float:
     """Train on ``(input rows, outputs)`` in order, changing both matrices in
     place; returns the summed loss.
 
-    ``outputs`` has a row per context: the positive, then its negatives.  The
-    mean ``u`` of the focus is not refreshed between its contexts and a
-    context's delta goes in full to every input row.  An output row only ever
-    moves along ``u`` during one focus, so its activation follows from a
-    scalar recurrence: repeats see what earlier ones changed, yet vectors are
-    touched once per distinct row.
+    ``outputs`` has a row per context: the positive, then its negatives.
+    ``rates`` is the learning rate, or one for each focus.  The mean ``u`` of
+    the focus is not refreshed between its contexts and a context's delta goes
+    in full to every input row.  An output row only ever moves along ``u``
+    during one focus, so its activation follows from a scalar recurrence:
+    repeats see what earlier ones changed, yet vectors are touched once per
+    distinct row.  Sums are in double whatever the matrices hold.  The curve
+    arrays add up, for each row, the rate times the curvature of its losses.
     """
-    total, exp, log = 0.0, math.exp, math.log
-    for ids, outputs in examples:
+    total, exp, ln = 0.0, math.exp, math.log
+    steady = isinstance(rates, float)
+    for at, (ids, outputs) in enumerate(examples):
         if not outputs.size:
             continue
-        u = rows_in[ids].mean(axis=0) if len(ids) > 1 else rows_in[ids[0]].copy()
+        lr = rates if steady else rates[at]
+        u = rows_in[ids].mean(axis=0, dtype=np.float64)
         order = outputs.ravel().tolist()
         distinct = {o: i for i, o in enumerate(dict.fromkeys(order))}
         rows = np.fromiter(distinct, np.int64, len(distinct))
-        w = rows_out[rows]
+        w = rows_out[rows].astype(np.float64)
         activation, length = (w @ u).tolist(), float(u @ u)
-        moved = [0.0] * len(rows)
+        moved, curve = [0.0] * len(rows), [0.0] * len(rows)
         along, width = 0.0, outputs.shape[1]
         for k, o in enumerate(order):
             i = distinct[o]
             a = activation[i] + moved[i] * length
             y = 1.0 if a > 10 else 0.0 if a < -10 else 1 / (1 + exp(-a))
             if k % width:
-                total -= log(1 - y + 1e-5)
-                g = -lr * y
+                total -= ln(1 - y + 1e-5)
+                g = -y
             else:
-                total -= log(y + 1e-5)
-                g = lr * (1 - y)
+                total -= ln(y + 1e-5)
+                g = 1 - y
+            curve[i] += max(y * (1 - y), LEAST_CURVE * abs(g))
+            g *= lr
             along += g * moved[i]  # the old row is w + moved * u
             moved[i] += g
-        step = np.array(moved, rows_out.dtype)
-        delta = step @ w + rows_out.dtype.type(along) * u
+        step = np.array(moved)
+        delta = step @ w + along * u
+        if curve_out is not None:
+            bend = lr * np.array(curve)
+            curve_out[rows] += bend * length
+            np.add.at(curve_in, ids, float(bend @ np.einsum("ij,ij->i", w, w)))
         rows_out[rows] = w + step[:, None] * u
         if len(ids) > 1:
-            np.add.at(rows_in, ids, delta)
+            np.add.at(rows_in, ids, delta.astype(rows_in.dtype))
         else:
-            rows_in[ids[0]] += delta
+            rows_in[ids[0]] = rows_in[ids[0]] + delta
     return total
 
 
-def _train_part(lr: float):
-    """One partition of a super-step, over its examples and its parameter rows."""
-
-    def run(key, examples: pd.DataFrame, params: pd.DataFrame) -> pd.DataFrame:
-        columns = ["matrix", "row_id", "delta", "loss", "positives", "tokens"]
-        if examples.empty:
-            return pd.DataFrame(columns=columns)
-        place, stack = {}, {}
-        for m in (INPUT, OUTPUT):
-            part = params[params["matrix"] == m]
-            place[m] = {int(r): i for i, r in enumerate(part["row_id"])}
-            stack[m] = np.array([np.asarray(v, np.float32) for v in part["vec"]], np.float32)
+_CHANGES = "matrix int, row_id long, delta array<float>, curve double, loss double, positives long, tokens long"
+_CHANGE = pa.schema([
+    ("matrix", pa.int32()), ("row_id", pa.int64()), ("delta", pa.list_(pa.float32())),
+    ("curve", pa.float64()), ("loss", pa.float64()), ("positives", pa.int64()), ("tokens", pa.int64()),
+])
+_WORDS = 2
+
+
+def _vectors(array: pa.Array) -> np.ndarray:
+    """A list column of equal lengths as a matrix."""
+    return array.flatten().to_numpy(zero_copy_only=False).reshape(len(array), -1) if len(array) else np.empty((0, 0), np.float32)
+
+
+def _one_batch(table: pa.Table) -> pa.RecordBatch:
+    columns = [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in table.columns]
+    return pa.RecordBatch.from_arrays(columns, schema=table.schema)
+
+
+def _train_part(expand: Callable[[pa.RecordBatch], Work], first: float, last: float):
+    """One part of a super-step, over its blocks and its parameter rows."""
+
+    def run(blocks: pa.Table, side: pa.Table) -> pa.Table:
+        if not blocks.num_rows:
+            return _CHANGE.empty_table()
+        work = expand(_one_batch(blocks.sort_by([("sent_id", "ascending"), ("block", "ascending")])))
+        side = side.sort_by([("matrix", "ascending"), ("row_id", "ascending")])
+        matrix, row_id = side["matrix"].to_numpy(), side["row_id"].to_numpy()
+        cut = np.searchsorted(matrix, [OUTPUT, _WORDS])
+        spans = {INPUT: slice(0, cut[0]), OUTPUT: slice(cut[0], cut[1])}
+        rows = {m: row_id[s] for m, s in spans.items()}
+        stack = {m: _vectors(_one_batch(side.slice(s.start, s.stop - s.start).select(["vec"])).column(0)).copy() for m, s in spans.items()}
+        ids = _one_batch(side.slice(cut[1]).select(["ids"])).column(0)
+        ends = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
+        flat = np.searchsorted(rows[INPUT], ids.flatten().to_numpy(zero_copy_only=False))
+        word = np.searchsorted(row_id[cut[1] :], work.focus)
+        outputs = np.searchsorted(rows[OUTPUT], work.outputs)
+        at = np.concatenate([[0], np.cumsum(work.sizes)])
+        examples = [(flat[ends[w] : ends[w + 1]], outputs[at[i] : at[i + 1]]) for i, w in enumerate(word.tolist())]
         before = {m: stack[m].copy() for m in stack}
-        work, positives = [], 0
-        for e in examples.sort_values(["sent_id", "pos"]).itertuples():
-            outs = np.array([place[OUTPUT][o] for o in e.outputs], np.int64)
-            others = np.array([place[OUTPUT][o] for o in e.negatives], np.int64)
-            both = np.concatenate([outs[:, None], others.reshape(len(outs), -1)], axis=1) if len(outs) else outs[:, None]
-            work.append((np.array([place[INPUT][i] for i in e.ids], np.int64), both))
-            positives += len(outs)
-        loss = sequential_pass(work, stack[INPUT], stack[OUTPUT], lr)
-        rows = []
+        curves = {m: np.zeros(len(rows[m])) for m in stack}
+        rates = np.linspace(first, last, len(examples), endpoint=False)
+        loss = sequential_pass(examples, stack[INPUT], stack[OUTPUT], rates, curves[INPUT], curves[OUTPUT])
+        tables = []
         for m in (INPUT, OUTPUT):
             delta = stack[m] - before[m]
-            rows += [(m, r, delta[i].tolist(), 0.0, 0, 0) for r, i in place[m].items() if delta[i].any()]
-        rows.append((-1, -1, [], float(loss), positives, len(examples)))
-        return pd.DataFrame(rows, columns=columns)
+            moved = np.flatnonzero(delta.any(axis=1))
+            for a in range(0, len(moved), 10_000):
+                some = moved[a : a + 10_000]
+                offsets = pa.array(np.arange(len(some) + 1, dtype=np.int32) * delta.shape[1])
+                none = np.zeros(len(some), np.int64)
+                columns = [pa.array(np.full(len(some), m, np.int32)), pa.array(rows[m][some]), pa.ListArray.from_arrays(offsets, pa.array(delta[some].ravel())), pa.array(curves[m][some])]
+                tables.append(pa.Table.from_arrays([*columns, pa.array(none.astype(float)), pa.array(none), pa.array(none)], schema=_CHANGE))
+        total = [[-1], [-1], [[]], [0.0], [float(loss)], [len(outputs)], [len(examples)]]
+        tables.append(pa.Table.from_arrays([pa.array(v, f.type) for v, f in zip(total, _CHANGE)], schema=_CHANGE))
+        return pa.concat_tables(tables)
 
     return run
 
 
-def super_step(examples: DataFrame, params: DataFrame, lr: float) -> tuple[DataFrame, StepStats]:
-    """Train on ``examples`` (``part, sent_id, pos, ids, outputs, negatives``;
-    a durable table, read three times) of one part with the parameter rows it
-    touches.  Deltas are applied in full.
+def _touched_batches(expand: Callable[[pa.RecordBatch], Work], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(part, matrix, row_id)`` of the words and output rows that blocks use."""
+    for batch in batches:
+        part = batch.column(batch.schema.get_field_index("part")).to_numpy(zero_copy_only=False)
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[order])) + 1
+        for some in np.split(order, cuts):
+            if not len(some):
+                continue
+            work = expand(batch.take(pa.array(some)))
+            for m, rows in ((_WORDS, np.unique(work.focus)), (OUTPUT, np.unique(work.outputs))):
+                columns = [np.full(len(rows), part[some[0]], np.int64), np.full(len(rows), m, np.int32), rows.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "matrix", "row_id"])
+
+
+def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by matrix, row and kind, each parameter row before its
+    deltas; the rows of the last key wait for the next batch."""
+    held: list[pa.RecordBatch] = []
+
+    def merged(rows: pa.RecordBatch) -> pa.RecordBatch:
+        matrix, row_id, kind, curve = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        vec = _vectors(rows.column(4)).astype(np.float64)
+        start = np.flatnonzero(kind == 0)
+        base = vec[start]
+        vec[start] = 0
+        delta = np.add.reduceat(vec, start)
+        whole, apart = -np.expm1(-np.add.reduceat(curve, start)), np.add.reduceat(-np.expm1(-curve), start)
+        factor = np.divide(whole, apart, out=np.ones(len(start)), where=apart > 0)
+        out = (base + delta * factor[:, None]).astype(np.float32)
+        offsets = pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1])
+        columns = [pa.array(matrix[start]), pa.array(row_id[start]), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))]
+        return pa.RecordBatch.from_arrays(columns, names=["matrix", "row_id", "vec"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False) == 0)
+        if not len(starts):
+            held.append(batch)
+            continue
+        ready = [*held, batch.slice(0, starts[-1])]
+        held = [batch.slice(starts[-1])]
+        if sum(r.num_rows for r in ready):
+            yield merged(pa.concat_batches(ready))
+    if held:
+        yield merged(pa.concat_batches(held))
+
+
+def merge_changes(params: DataFrame, changes: DataFrame) -> DataFrame:
+    """Parameters after the changes of parallel parts.
+
+    Deltas of one row that start from the same value are summed as far as that
+    cannot overshoot.  With ``h`` the rate times the curvature a part saw, the
+    part has closed at most ``1 - exp(-h)`` of the way to its optimum, and all
+    parts one after the other ``1 - exp(-sum h)``; the sum of the deltas is
+    scaled by the quotient of the second and the sum of the first.  Rare rows
+    keep the whole sum, rows that every part has settled get the average.
     """
-    touched = examples.select("part", F.explode("ids").alias("row_id")).distinct().withColumn("matrix", F.lit(INPUT))
-    out = examples.select("part", F.explode(F.concat("outputs", "negatives")).alias("row_id")).distinct().withColumn("matrix", F.lit(OUTPUT))
-    needed = touched.unionByName(out).join(params, ["matrix", "row_id"]).select(F.col("part").alias("at"), "matrix", "row_id", "vec")
-    run = _train_part(lr)
-    raw = (
-        examples.groupBy("part")
-        .cogroup(needed.groupBy("at"))
-        .applyInPandas(run, "matrix int, row_id long, delta array<float>, loss double, positives long, tokens long")
+    rows = params.select("matrix", "row_id", F.lit(0).alias("kind"), F.lit(0.0).alias("curve"), "vec")
+    moves = changes.where("matrix >= 0").select("matrix", "row_id", F.lit(1).alias("kind"), "curve", F.col("delta").alias("vec"))
+    both = rows.unionByName(moves).repartition("matrix", "row_id").sortWithinPartitions("matrix", "row_id", "kind")
+    return both.mapInArrow(_merge_batches, PARAMS)
+
+
+def super_step(blocks: DataFrame, params: DataFrame, words: DataFrame, expand: Callable[[pa.RecordBatch], Work], rates: tuple[float, float]) -> tuple[DataFrame, str, StepStats]:
+    """Train the parts of ``blocks`` in parallel; returns the parameters as a
+    durable table, its path, and the totals.
+
+    ``blocks`` (durable, read twice) has ``part, sent_id, block`` and what
+    ``expand`` turns into :class:`Work`; ``words`` has ``idx`` and ``ids``,
+    the input rows of each word.  The learning rate falls from the first to
+    the second of ``rates`` within each part.
+    """
+    spark = params.sparkSession
+    names = blocks.columns
+    shape = "part long, matrix int, row_id long"
+    touched, touched_at = written_at(blocks.select(*names).mapInArrow(lambda it: _touched_batches(expand, it), shape).distinct())
+    focus = touched.where(F.col("matrix") == _WORDS).join(words.select(F.col("idx").alias("row_id"), "ids"), "row_id")
+    inputs = focus.select("part", F.lit(INPUT).alias("matrix"), F.explode("ids").alias("row_id")).distinct()
+    rows = inputs.unionByName(touched.where(F.col("matrix") == OUTPUT)).join(params, ["matrix", "row_id"])
+    side = rows.select(F.col("part").alias("at"), "matrix", "row_id", "vec", F.lit(None).cast("array<long>").alias("ids")).unionByName(
+        focus.select(F.col("part").alias("at"), "matrix", "row_id", F.lit(None).cast("array<float>").alias("vec"), "ids")
     )
-    changes = written(raw)
+    raw = blocks.groupBy("part").cogroup(side.groupBy("at")).applyInArrow(_train_part(expand, *rates), _CHANGES)
+    changes, changes_at = written_at(raw)
     total = changes.where("matrix = -1").agg(F.sum("loss"), F.sum("positives"), F.sum("tokens")).first()
-    moved = (
-        changes.where("matrix >= 0")
-        .select("matrix", "row_id", F.posexplode("delta").alias("dim", "d"))
-        .groupBy("matrix", "row_id", "dim")
-        .agg(F.sum("d").alias("d"))
-        .groupBy("matrix", "row_id")
-        .agg(F.sort_array(F.collect_list(F.struct("dim", "d"))).alias("delta"))
-    )
-    updated = params.join(moved, ["matrix", "row_id"], "left").select(
-        "matrix",
-        "row_id",
-        F.when(F.col("delta").isNull(), F.col("vec"))
-        .otherwise(F.zip_with("vec", F.col("delta.d"), lambda a, b: (a + b).cast("float")))
-        .alias("vec"),
-    )
-    return written(updated), StepStats(total[0] or 0.0, total[1] or 0, total[2] or 0)
+    updated, path = written_at(merge_changes(params, changes))
+    for old in (touched_at, changes_at):
+        remove(spark, old)
+    return updated, path, StepStats(total[0] or 0.0, total[1] or 0, total[2] or 0)
+
+
+class Trainer(Protocol):
+    """What a model gives to :func:`train`."""
+
+    words: DataFrame  #: ``idx, ids``: the input rows of every word
+    kept: float  #: focus tokens that one pass is expected to keep
+
+    def blocks(self, layout: Layout) -> DataFrame:
+        """The blocks of one pass, with ``step`` and ``part``."""
+
+    def expand(self, epoch: int) -> Callable[[pa.RecordBatch], Work]:
+        """How blocks become work."""
 
 
 @dataclass(frozen=True)
@@ -192,33 +322,64 @@ class Trained:
     params: DataFrame
     losses: list[float]
     tokens: int
-
-
-def train(make_examples, params: DataFrame, n_tokens: int, config: CommonConfig, max_steps: int | None = None) -> Trained:
-    """Super-steps until the kept focus tokens reach ``epochs * n_tokens``.
-
-    ``make_examples(epoch)`` gives the examples of one pass over the corpus,
-    a super-step takes one of its parts, and the next goes on from its result:
-    summed, the deltas of parts that start from the same rows overshoot, and
-    averaged they lose most updates of frequent rows.  Since subsampling drops
-    tokens, more passes than ``epochs`` may be needed; ``max_steps`` bounds
-    them.  A pass without any token is an error.
+    positives: int = 0
+    steps: list[tuple[int, int]] = field(default_factory=list)  #: (tokens, parts) of each
+
+
+def plan_layout(epoch: int, done: int, kept: float, goal: int, part_tokens: int | None = None, growth: float | None = None, max_parts: int | None = None) -> Layout:
+    """The steps of a pass that starts after ``done`` tokens on the way to ``goal``."""
+    part_tokens, growth, max_parts = part_tokens or PART_TOKENS, growth or GROWTH, max_parts or MAX_PARTS
+    missing = goal - done
+    # a little more than what is missing, since the kept tokens are random
+    needed = min(kept, missing + 3 * math.sqrt(512 * missing) + 512)
+    bounds, parts, at = [], [], 0.0
+    while at < needed:
+        size = min(max(part_tokens, growth * (done + at)), max_parts * part_tokens)
+        if needed - at - size < part_tokens / 2:
+            size = needed - at
+        parts.append(max(1, round(size / part_tokens)))
+        at += size
+        bounds.append(at)
+    if needed >= kept and bounds:
+        bounds[-1] = math.inf
+    return Layout(epoch, kept, tuple(bounds), tuple(parts))
+
+
+def train(trainer: Trainer, params: DataFrame, n_tokens: int, config: CommonConfig, max_passes: int | None = None) -> Trained:
+    """Passes until the kept focus tokens reach ``epochs * n_tokens``.
+
+    Each pass is written once, by step; each step starts from the parameters
+    of the one before and its tables are removed when the next is durable.
+    Since subsampling drops tokens, more passes than ``epochs`` may be needed;
+    ``max_passes`` bounds them.  A pass without any token is an error.
     """
-    shared_dir(params.sparkSession)
-    params, losses, processed, epoch = written(params), [], 0, 0
-    while processed < config.epochs * n_tokens and (max_steps is None or epoch < max_steps):
-        examples, before = written(make_examples(epoch).withColumn("step", F.col("part")), ["step"]), processed
-        for i in sorted(r[0] for r in examples.select("step").distinct().collect()):
-            rate = learning_rate(processed, config.epochs, n_tokens, config.lr)
-            params, stats = super_step(examples.where(F.col("step") == i).drop("step"), params, rate)
+    spark = params.sparkSession
+    shared_dir(spark)
+    goal, began = config.epochs * n_tokens, time.time()
+    params, path = written_at(params)
+    losses, steps, processed, positives, epoch = [], [], 0, 0, 0
+    while processed < goal and (max_passes is None or epoch < max_passes):
+        layout, before = plan_layout(epoch, processed, max(trainer.kept, 1.0), goal), processed
+        laid = trainer.blocks(layout).repartition("step", "part")
+        blocks, blocks_at = written_at(laid, ["step"])
+        for i, parts in enumerate(layout.parts):
+            share = (layout.bounds[i] if math.isfinite(layout.bounds[i]) else layout.length) - (layout.bounds[i - 1] if i else 0)
+            rates = tuple(learning_rate(p, config.epochs, n_tokens, config.lr) for p in (processed, processed + share))
+            updated, new, stats = super_step(blocks.where(F.col("step") == i).drop("step"), params, trainer.words, trainer.expand(epoch), rates)
+            remove(spark, path)
+            params, path = updated, new
+            processed, positives = processed + stats.tokens, positives + stats.positives
             losses.append(stats.loss / max(stats.positives, 1))
-            processed += stats.tokens
-            if processed >= config.epochs * n_tokens:
+            steps.append((stats.tokens, parts))
+            left = (time.time() - began) * max(goal - processed, 0) / max(processed, 1)
+            log.info("trained %d of %d tokens, rate %.5f, loss %.4f, about %.0f s left", processed, goal, rates[1], losses[-1], left)
+            if processed >= goal:
                 break
+        remove(spark, blocks_at)
         if processed == before:
             raise ValueError("the corpus provides no sentences to train on")
         epoch += 1
-    return Trained(params, losses, processed)
+    return Trained(params, losses, processed, positives, steps)
 
 
 def final_vectors(vocab: DataFrame, params: DataFrame) -> DataFrame:

@@ -110,7 +110,9 @@ def context_window_sizes(spark, d):
 
 def _pairs(model):
     def query(spark, d):
-        return pairs.window_pairs(pairs.kept_sentences(subsample_tokens(spark, d)), model, CONTEXT)
+        source = sentences(spark, d)
+        words = vocab.build_vocabulary(pairs.explode_tokens(source), SimpleVocabConfig()).table
+        return pairs.window_pairs(pairs.kept_sentences(pairs.known_tokens(source, words)), model, CONTEXT)
 
     return query
 
@@ -244,8 +246,9 @@ def _pairs_sql(output: str) -> str:
     return f"""WITH {_KEPT},
 seq AS (SELECT *, row_number() OVER (PARTITION BY sent_id ORDER BY pos) - 1 AS f,
     1 + floor({U.format("'w|0|' || sent_id || '|' || pos")} * {CONTEXT})::INTEGER AS b FROM kept),
+reach AS (SELECT *, f + o AS other FROM seq, (SELECT unnest(range(-{CONTEXT}, {CONTEXT} + 1)) AS o) WHERE o <> 0 AND abs(o) <= b),
 pairs AS (SELECT x.sent_id, x.pos, x.idx AS focus_idx, ({output})::BIGINT AS output_idx
-    FROM seq x JOIN seq y ON x.sent_id = y.sent_id AND y.f <> x.f AND abs(y.f - x.f) <= x.b)
+    FROM reach x JOIN seq y ON x.sent_id = y.sent_id AND y.f = x.other)
 """
 
 
