@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from wordloom.config import Cutoff, DepembedsConfig, SimpleVocabConfig
@@ -87,14 +88,29 @@ def test_projective_trees_and_lifting(spark, tree):
 
 def test_training_pairs_keep_tokens_without_contexts(spark, tree):
     words = build_vocabulary(tree.select(F.explode("nodes.form").alias("token")), SimpleVocabConfig(Cutoff("MinCount", 1), 1e9)).table
-    contexts = deps.dependency_contexts(tree, DepembedsConfig(depth=1))
-    ranked = context_vocabulary(contexts, Cutoff("MinCount", 1), 1e9)
-    got = deps.training_pairs(tree, contexts, words, ranked).orderBy("pos").collect()
+    config = DepembedsConfig(depth=1)
+    ranked = context_vocabulary(deps.dependency_contexts(tree, config), Cutoff("MinCount", 1), 1e9)
+    got = deps.training_pairs(tree, config, words, ranked).orderBy("pos").collect()
     assert [len(r["contexts"]) for r in got] == [1, 2, 2, 1, 1, 1]
-    none = deps.training_pairs(tree, contexts, words, ranked.limit(0)).collect()
+    none = deps.training_pairs(tree, config, words, ranked.limit(0)).collect()
     assert len(none) == 6 and all(r["contexts"] == [] for r in none)
 
 
+@pytest.mark.parametrize("options", [dict(depth=1), dict(depth=2, use_root=True, normalize=True), dict(depth=0, untyped=True, normalize=True, use_root=True)])
+def test_training_pairs_by_lookup_and_by_join_agree(spark, options):
+    rng = np.random.default_rng(4)
+    rows = []
+    for s in range(60):
+        n = int(rng.integers(1, 30))
+        rows.append((s, [(i + 1, f"W{rng.integers(9)}", int(rng.integers(0, n + 3)), [None, "", "a", "b"][rng.integers(4)]) for i in range(n)]))
+    trees = spark.createDataFrame(rows, "sent_id long, nodes array<struct<id:int,form:string,head:int,rel:string>>")
+    config = DepembedsConfig(**options)
+    words = build_vocabulary(trees.select(F.explode("nodes.form").alias("token")), SimpleVocabConfig(Cutoff("MinCount", 40), 1e-1)).table
+    ranked = context_vocabulary(deps.dependency_contexts(trees, config), Cutoff("MinCount", 3), 1e-1)
+    a, b = (sorted(map(str, deps.training_pairs(trees, config, words, ranked, 1, lookup).collect())) for lookup in (10**6, 0))
+    assert a == b and len(a) > 100
+
+
 def test_chunks_of_files(tmp_path):
     text = tmp_path / "a.txt"
     text.write_text("aaa\nbbb\nccc\nddd\n")

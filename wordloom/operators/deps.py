@@ -7,6 +7,7 @@ tokens of an Arrow batch; options are column expressions behind it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.config import DepembedsConfig
+from wordloom.operators.sampling import hashed_uniform
 from wordloom.sources.corpus import NODE
 
 ROOT_FORM = "<root>"
@@ -81,39 +83,44 @@ def _climb(flat: _Flat, max_depth: int) -> Iterator[tuple[int, np.ndarray, np.nd
             return
 
 
+def _emitted(flat: _Flat, max_depth: int) -> tuple[np.ndarray, ...] | None:
+    """All contexts of a batch in order of emission: ``(node, seq, focus,
+    direction, depth, rel_at, form_at)``.
+
+    ``node`` is the climbing token and ``focus`` the token the context stands
+    at, as absolute positions; ``form_at`` is -1 for the root.
+    """
+    found = []
+    for d, node, current, head in _climb(flat, max_depth):
+        found.append((node, np.zeros(len(node), np.int64), node, np.full(len(node), d), current, head))
+        below = head >= 0
+        node, head = node[below], head[below]
+        found.append((node, np.ones(len(node), np.int64), head, np.full(len(node), d), node, node))
+    if not found:
+        return None
+    node, direction, focus, depth, rel_at, form_at = map(np.concatenate, zip(*found))
+    order = np.lexsort((direction, depth, node))
+    node, direction, focus, depth, rel_at, form_at = (x[order] for x in (node, direction, focus, depth, rel_at, form_at))
+    tree = flat.tree[node]
+    first = np.concatenate([[0], np.flatnonzero(tree[1:] != tree[:-1]) + 1])
+    seq = np.arange(len(tree)) - np.repeat(first, np.diff(np.append(first, len(tree))))
+    return node, seq, focus, direction, depth, rel_at, form_at
+
+
 def _context_batches(max_depth: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         flat = _Flat(batch.column(0), batch.column(1))
-        focus, seq, direction, depth, rel_at, form_at = ([] for _ in range(6))
-        for d, node, current, head in _climb(flat, max_depth):
-            focus.append(flat.position[node])
-            rel_at.append(current)
-            form_at.append(head)
-            seq.append(node * 2)
-            direction.append(np.full(len(node), INVERSE))
-            below = head >= 0
-            node, current, head = node[below], current[below], head[below]
-            focus.append(flat.position[head])
-            rel_at.append(node)
-            form_at.append(node)
-            seq.append(node * 2 + 1)
-            direction.append(np.full(len(node), REGULAR))
-            depth += [np.full(len(focus[-2]), d), np.full(len(node), d)]
-        if not focus:
+        emitted = _emitted(flat, max_depth)
+        if emitted is None:
             continue
-        focus, seq, direction, depth, rel_at, form_at = map(np.concatenate, (focus, seq, direction, depth, rel_at, form_at))
-        order = np.lexsort((direction, depth, seq // 2))
-        focus, seq, direction, depth, rel_at, form_at = (a[order] for a in (focus, seq, direction, depth, rel_at, form_at))
-        tree = flat.tree[seq // 2]
-        first = np.concatenate([[0], np.flatnonzero(tree[1:] != tree[:-1]) + 1])
-        number = np.arange(len(tree)) - np.repeat(first, np.diff(np.append(first, len(tree))))
+        node, seq, focus, direction, depth, rel_at, form_at = emitted
         form = flat.form.take(pa.array(form_at, mask=form_at < 0))
         form = pa.compute.if_else(pa.array(form_at < 0), ROOT_FORM, form)
         yield pa.RecordBatch.from_arrays(
             [
-                flat.sent_id.take(pa.array(seq // 2)),
-                pa.array(number, pa.int64()),
-                pa.array(focus, pa.int32()),
+                flat.sent_id.take(pa.array(node)),
+                pa.array(seq, pa.int64()),
+                pa.array(flat.position[focus], pa.int32()),
                 pa.array(np.full(len(focus), TYPED), pa.int32()),
                 pa.array(direction, pa.int32()),
                 pa.array(depth, pa.int32()),
@@ -174,23 +181,121 @@ def context_struct() -> Column:
     return F.struct(*CONTEXT)
 
 
-def training_pairs(trees: DataFrame, contexts: DataFrame, words: DataFrame, context_vocab: DataFrame, epoch: int = 0) -> DataFrame:
+#: Streams of the hashed draws of focus tokens and contexts.
+KEEP_FOCUS, KEEP_CONTEXT = 2, 6
+#: Contexts, and bytes of their texts, up to which the ranked contexts are sent to every executor.
+LOOKUP_CONTEXTS, LOOKUP_BYTES = 2_000_000, 128 << 20
+
+
+class _Ranked:
+    """Words and ranked contexts for lookups without a join.
+
+    Labels and forms become numbers, and a context one number made of them,
+    its depth and its direction.
+    """
+
+    def __init__(self, words: pa.Table, contexts: pa.Table):
+        self.words = words["label"].combine_chunks()
+        self.word_idx, self.word_keep = (words[c].to_numpy() for c in ("idx", "keep"))
+        self.forms, self.rels = (pa.compute.unique(contexts[c]) for c in ("form", "dep_label"))
+        self.depths = int((pa.compute.max(contexts["depth"]).as_py() or 0) + 1)
+        column = lambda c: contexts[c].fill_null(0).to_numpy().astype(np.int64)
+        key = self.key(column("direction"), column("depth"), contexts["dep_label"], contexts["form"])
+        order = np.argsort(key)
+        self.keys, self.idx, self.keep = key[order], column("idx")[order], contexts["keep"].to_numpy()[order]
+
+    def key(self, direction: np.ndarray, depth: np.ndarray, rel, form) -> np.ndarray:
+        """One number for each context, negative where no context can be known."""
+        r, f = (np.asarray(pa.compute.index_in(x, value_set=known).fill_null(-1)) for x, known in ((rel, self.rels), (form, self.forms)))
+        key = ((f.astype(np.int64) * max(len(self.rels), 1) + r) * self.depths + depth) * 2 + direction
+        return np.where((f < 0) | (r < 0) | (depth >= self.depths), -1, key)
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(output row, keep probability)``; -1 and 0 where unknown."""
+        if not len(self.keys):
+            return np.full(len(key), -1), np.zeros(len(key))
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[at] == key
+        return np.where(hit, self.idx[at], -1), np.where(hit, self.keep[at], 0.0)
+
+
+def _pair_batches(config: DepembedsConfig, ranked: _Ranked, epoch: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kept focus tokens of a batch of trees with their surviving contexts."""
+    for batch in batches:
+        flat = _Flat(batch.column(0), batch.column(1))
+        if not len(flat.tree):
+            continue
+        sent = flat.sent_id.to_numpy(zero_copy_only=False)
+        word = pa.compute.index_in(flat.form, value_set=ranked.words).fill_null(-1).to_numpy(zero_copy_only=False)
+        kept = word >= 0
+        kept[kept] = hashed_uniform(KEEP_FOCUS, epoch, sent[kept], flat.position[kept]) < ranked.word_keep[word[kept]]
+        node, seq, focus, direction, depth, rel_at, form_at = _emitted(flat, config.depth)
+        shown = batch.column(2).flatten() if config.normalize else flat.form
+        form = pa.compute.if_else(pa.array(form_at < 0), ROOT_FORM, shown.take(pa.array(form_at, mask=form_at < 0)))
+        if config.untyped:
+            none = np.zeros(len(node), np.int64)
+            key = ranked.key(none, none, pa.nulls(len(node), pa.string()), form)
+        else:
+            key = ranked.key(direction, depth, pa.compute.fill_null(flat.rel, "").take(pa.array(rel_at)), form)
+        output, keep = ranked.find(key)
+        lucky = (output >= 0) & kept[focus]
+        if not config.use_root:
+            lucky &= ~pa.compute.equal(form, ROOT_FORM).fill_null(False).to_numpy(zero_copy_only=False)
+        lucky[lucky] = hashed_uniform(KEEP_CONTEXT, epoch, sent[focus[lucky]], seq[lucky]) < keep[lucky]
+        focus, output, seq = focus[lucky], output[lucky], seq[lucky]
+        order = np.lexsort((seq, focus))
+        at = np.flatnonzero(kept)
+        sizes = np.bincount(focus, minlength=len(kept))[at]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        columns = [pa.array(sent[at]), pa.array(flat.position[at].astype(np.int32)), pa.array(ranked.word_idx[word[at]])]
+        yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(output[order]))], names=["sent_id", "pos", "focus_idx", "contexts"])
+
+
+def _drawn(df: DataFrame, stream: int, epoch: int, key: str) -> DataFrame:
+    """Add ``u``, drawn by ``sent_id`` and ``key``."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("sent_id", key))
+            u = hashed_uniform(stream, epoch, *parts)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(u)], names=[*batch.schema.names, "u"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.mapInArrow(draw, f"{fields}, u double")
+
+
+def training_pairs(trees: DataFrame, config: DepembedsConfig, words: DataFrame, context_vocab: DataFrame, epoch: int = 0, lookup: int = LOOKUP_CONTEXTS) -> DataFrame:
     """``(sent_id, pos, focus_idx, contexts)`` of kept focus tokens.
 
     ``contexts`` are the surviving contexts as output rows in order of
     emission; a kept token without contexts stays with an empty array.
+    Vocabularies of at most ``lookup`` entries and ``LOOKUP_BYTES`` are sent
+    to the executors and everything happens inside the tree; larger ones are
+    joined, contexts on one hash and then on all their columns.  Both ways
+    give the same rows.
     """
-    from wordloom.functions.rand import uniform
-    from wordloom.operators.pairs import kept_tokens
-
-    tokens = trees.select("sent_id", F.posexplode(F.col("nodes.form")).alias("pos", "token"))
-    focus = kept_tokens(tokens, words, epoch)
-    known = context_vocab.select(*[F.col(c).alias(f"v_{c}") for c in CONTEXT], F.col("idx").alias("output_idx"), F.col("keep_prob").alias("context_keep"))
-    same = [contexts[c].eqNullSafe(known[f"v_{c}"]) for c in CONTEXT]
-    kept = contexts.join(known, same).where(uniform("c", epoch, F.col("sent_id"), F.col("seq")) < F.col("context_keep"))
-    lists = kept.groupBy("sent_id", F.col("focus").alias("pos")).agg(F.sort_array(F.collect_list(F.struct("seq", "output_idx"))).alias("found"))
+    spark = trees.sparkSession
+    source = (projectivize(trees) if config.projectivize else trees).select("sent_id", "nodes")
+    slim = words.select("label", "idx", F.col("keep_prob").cast("double").alias("keep"))
+    known = context_vocab.select(*CONTEXT, "idx", F.col("keep_prob").cast("double").alias("keep"))
+    length = lambda c: F.coalesce(F.sum(F.octet_length(c)), F.lit(0))
+    sizes = [*slim.agg(F.count(F.lit(1)), length("label")).first(), *known.agg(F.count(F.lit(1)), length("form") + length("dep_label")).first()]
+    if max(sizes[0], sizes[2]) <= lookup and sizes[1] + sizes[3] <= LOOKUP_BYTES:
+        shared = spark.sparkContext.broadcast((slim.toArrow(), known.toArrow()))  # sizes checked above
+        lowered = source.withColumn("lower", F.transform("nodes", lambda n: F.lower(n["form"]))) if config.normalize else source
+        shape = "sent_id long, pos int, focus_idx long, contexts array<long>"
+        return lowered.mapInArrow(lambda it: _pair_batches(config, _Ranked(*shared.value), epoch, it), shape)
+    tokens = source.select("sent_id", F.posexplode(F.col("nodes.form")).alias("pos", "label")).join(slim, "label")
+    focus = _drawn(tokens, KEEP_FOCUS, epoch, "pos").where(F.col("u") < F.col("keep")).select("sent_id", "pos", F.col("idx").alias("focus_idx"))
+    contexts = dependency_contexts(source, replace(config, projectivize=False)).withColumn("h", F.xxhash64(*CONTEXT))
+    ranked = known.select(F.xxhash64(*CONTEXT).alias("h"), *[F.col(c).alias(f"v_{c}") for c in CONTEXT], "idx", "keep")
+    hits = contexts.join(ranked, "h")
+    for c in CONTEXT:
+        hits = hits.where(F.col(c).eqNullSafe(F.col(f"v_{c}")))
+    hits = _drawn(hits.select("sent_id", "seq", F.col("focus").alias("pos"), "idx", "keep"), KEEP_CONTEXT, epoch, "seq").where(F.col("u") < F.col("keep"))
+    lists = hits.groupBy("sent_id", "pos").agg(F.sort_array(F.collect_list(F.struct("seq", "idx"))).alias("found"))
     joined = focus.join(lists, ["sent_id", "pos"], "left")
-    return joined.select("sent_id", "pos", F.col("idx").alias("focus_idx"), F.coalesce(F.col("found.output_idx"), F.array().cast("array<long>")).alias("contexts"))
+    return joined.select("sent_id", "pos", "focus_idx", F.coalesce(F.col("found.idx"), F.array().cast("array<long>")).alias("contexts"))
 
 
 def _lift(ids: list[int], heads: list[int]) -> list[int]:

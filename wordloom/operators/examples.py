@@ -14,9 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from wordloom.config import SkipGramConfig
+from wordloom.config import DepembedsConfig, SkipGramConfig
 from wordloom.operators.deps import training_pairs
 from wordloom.operators.pairs import output_index, windows
 from wordloom.operators.sampling import hashed_uniform, negative_draws
@@ -149,9 +148,9 @@ def _dependency_batches(layout: Layout, batches: Iterator[pa.RecordBatch]) -> It
         yield placed.take(needed)
 
 
-def dependency_blocks(trees: DataFrame, contexts: DataFrame, vocab: DataFrame, context_vocab: DataFrame, layout: Layout) -> DataFrame:
+def dependency_blocks(trees: DataFrame, config: DepembedsConfig, vocab: DataFrame, context_vocab: DataFrame, layout: Layout) -> DataFrame:
     """The focus tokens of one pass of the dependency model; outputs are ranked contexts."""
-    rows = training_pairs(trees, contexts, vocab, context_vocab, layout.epoch).select("sent_id", "pos", "focus_idx", F.col("contexts").alias("outputs"))
+    rows = training_pairs(trees, config, vocab, context_vocab, layout.epoch)
     shape = "step int, part long, sent_id long, block long, focus_idx long, outputs array<long>"
     return rows.mapInArrow(lambda it: _dependency_batches(layout, it), shape)
 

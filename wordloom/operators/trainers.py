@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,7 +60,6 @@ class DependencyTrainer:
     words: DataFrame
     kept: float
     trees: DataFrame
-    contexts: DataFrame
     context_vocab: DataFrame
     n_output_types: int
     common: CommonConfig
@@ -69,17 +68,18 @@ class DependencyTrainer:
     @classmethod
     def over(cls, trees: DataFrame, config: RunConfig) -> DependencyTrainer:
         model = config.model
+        if model.projectivize:
+            trees, model = written(deps.projectivize(trees)), replace(model, projectivize=False)
         vocab = build_vocabulary(trees.select(F.explode("nodes.form").alias("token")), config.vocab)
         words = written(vocab.table.select("idx", input_ids(vocab.table).alias("ids")))
-        contexts = written(deps.dependency_contexts(trees, model))
-        ranked = written(context_vocabulary(contexts, model.context_cutoff, model.context_discard))
-        return cls(vocab, words, _kept(vocab), trees, contexts, ranked, ranked.count(), config.common, model)
+        ranked = written(context_vocabulary(deps.dependency_contexts(trees, model), model.context_cutoff, model.context_discard))
+        return cls(vocab, words, _kept(vocab), trees, ranked, ranked.count(), config.common, model)
 
     def metadata(self) -> dict:
         return {"type": "Depembeds", **plain(self.model)}
 
     def blocks(self, layout: examples.Layout) -> DataFrame:
-        return examples.dependency_blocks(self.trees, self.contexts, self.vocab.table, self.context_vocab, layout)
+        return examples.dependency_blocks(self.trees, self.model, self.vocab.table, self.context_vocab, layout)
 
     def expand(self, epoch: int):
         c = self.common

@@ -43,8 +43,8 @@ def dep_context_vocab(spark, d):
 def dep_train_pairs(spark, d):
     source = written(trees(spark, d))
     words = build_vocabulary(source.select(F.explode("nodes.form").alias("token")), SimpleVocabConfig()).table
-    contexts = written(deps.dependency_contexts(source, DepembedsConfig()))
-    pairs = deps.training_pairs(source, contexts, words, context_vocabulary(contexts, Cutoff(), 1e-4))
+    ranked = written(context_vocabulary(deps.dependency_contexts(source), Cutoff(), 1e-4))
+    pairs = deps.training_pairs(source, DepembedsConfig(), words, ranked)
     return pairs.withColumn("contexts", F.array_join(F.col("contexts").cast("array<string>"), " "))
 
 
@@ -198,6 +198,20 @@ QUERIES = {
 _NODES = f"{SENTS}, nodes AS (SELECT sent_id, pos + 1 AS id, token AS form, (pos + 1) // 2 AS head, 'r' || (length(token) % 4) AS rel FROM toks)"
 
 
+def _hashed(source: str, keep: str, *parts: str) -> str:
+    """``source`` with ``u``, a number in [0, 1) hashed from the integers ``parts``."""
+    word = lambda x: f"({x})::UHUGEINT"
+    cut = lambda x: f"(({x}) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    golden = "11400714819323198485::UBIGINT"
+    sql = f"SELECT *, {golden} AS h FROM ({source})"
+    for p in parts:
+        sql = f"SELECT * REPLACE ({cut(f'{word(p)} + {word("h")} + {word(golden)}')} AS h) FROM ({sql})"
+        for shift, factor in ((30, "13787848793156543929"), (27, "10723151780598845931")):
+            sql = f"SELECT * REPLACE ({cut(f'{word(f"xor(h, h >> {shift})")} * {word(factor)}')} AS h) FROM ({sql})"
+        sql = f"SELECT * REPLACE (xor(h, h >> 31) AS h) FROM ({sql})"
+    return f"SELECT {keep}, (h >> 11)::DOUBLE / 9007199254740992 AS u FROM ({sql})"
+
+
 def _climb(limit: str) -> str:
     return f"""WITH RECURSIVE {_NODES},
 climb AS (SELECT sent_id, id AS node, id AS cur, head, 1 AS depth FROM nodes
@@ -266,11 +280,10 @@ SQL = {
     + """SELECT idx, kind::INTEGER AS kind, direction::INTEGER AS direction, depth::INTEGER AS depth, dep_label, form, "count",
         round(keep_prob, 6) AS keep_prob FROM cvocab""",
     "dep_train_pairs": _CVOCAB.replace("WITH RECURSIVE " + SENTS, "WITH RECURSIVE " + VOCAB)
-    + f""", focus AS (SELECT sent_id, pos, idx FROM toks JOIN vocab ON token = label
-            WHERE {U.format("'s|0|' || sent_id || '|' || pos")} < vocab.keep_prob),
-        found AS (SELECT k.sent_id, k.focus AS pos, string_agg(v.idx::VARCHAR, ' ' ORDER BY k.seq) AS contexts
-            FROM kept_ctx k JOIN cvocab v USING (direction, depth, dep_label, form)
-            WHERE {U.format("'c|0|' || k.sent_id || '|' || k.seq")} < v.keep_prob GROUP BY 1, 2)
+    + f""", focus AS (SELECT sent_id, pos, idx FROM ({_hashed("SELECT sent_id, pos, idx, keep_prob FROM toks JOIN vocab ON token = label", "sent_id, pos, idx, keep_prob", "2", "0", "sent_id", "pos")})
+            WHERE u < keep_prob),
+        drawn AS ({_hashed("SELECT k.sent_id, k.focus, k.seq, v.idx, v.keep_prob FROM kept_ctx k JOIN cvocab v USING (direction, depth, dep_label, form)", "sent_id, focus, seq, idx, keep_prob", "6", "0", "sent_id", "seq")}),
+        found AS (SELECT sent_id, focus AS pos, string_agg(idx::VARCHAR, ' ' ORDER BY seq) AS contexts FROM drawn WHERE u < keep_prob GROUP BY 1, 2)
         SELECT sent_id, pos::INTEGER AS pos, idx AS focus_idx, coalesce(contexts, '') AS contexts FROM focus LEFT JOIN found USING (sent_id, pos)""",
     "weighted_draws": f"""WITH {VOCAB}, {_IDS}, {_cumulated('SELECT idx AS item, "count" AS weight FROM vocab')},
         d AS (SELECT row_id, 1 + floor({U.format("'r|' || row_id")} * (SELECT max(high) FROM cum))::BIGINT AS v FROM ids)
