@@ -51,21 +51,23 @@ def p4_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _term_marks(spark, sf_dir).withColumn("n_types", F.lit(tokens).cast("long"))
 
 
-def _deduplicated_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "type_counts").where(F.col("label").isNotNull())
-    once = rows.select("count_id", "label", "count").dropDuplicates(["count_id"])
-    return once.select(F.col("label").alias("item"), F.coalesce("count", F.lit(0)).alias("weight"))
+def _weighted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "type_counts").select("count_id", F.col("label").alias("item"), F.col("count").alias("weight"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 labels of greatest summed count."""
-    return frequent.top_items(_deduplicated_counts(spark, sf_dir), 20).select(F.col("item").alias("label"))
+    return frequent.top_set(_weighted_labels(spark, sf_dir), 20, key="count_id").select(F.col("item").alias("label"))
 
 
 def p5_top_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 labels of greatest summed count with their guaranteed interval."""
-    top = frequent.top_items(_deduplicated_counts(spark, sf_dir), 20)
-    return top.select(F.col("item").alias("label"), "total", (F.col("lower") <= F.col("total")).alias("above_lower"), (F.col("upper") >= F.col("total")).alias("below_upper"))
+    """The 20 labels of greatest summed count with their total, whether it lies in
+    the guaranteed interval, and whether that is no wider than 1e-4 of all counts."""
+    top = frequent.top_items(_weighted_labels(spark, sf_dir), 20, 1e-4, "count_id")
+    once = table(spark, sf_dir, "type_counts").where(F.col("label").isNotNull() & F.col("count_id").isNotNull())
+    whole = once.groupBy("count_id").agg(F.max("count").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    inside = (F.col("lower") <= F.col("total")) & (F.col("total") <= F.col("upper"))
+    return top.select(F.col("item").alias("label"), "total", inside.alias("inside"), (F.col("upper") - F.col("lower") <= F.lit(1e-4 * whole)).alias("narrow"))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,8 +117,9 @@ QUERIES = {
 }
 
 _ONCE = """
-WITH once AS (SELECT count_id, any_value(label) AS label, coalesce(any_value("count"), 0) AS c, any_value(shard_id) AS s
-              FROM type_counts WHERE label IS NOT NULL GROUP BY count_id),
+WITH once AS (SELECT count_id, label, coalesce(any_value("count"), 0) AS c, any_value(shard_id) AS s
+              FROM type_counts WHERE label IS NOT NULL AND count_id IS NOT NULL GROUP BY count_id, label
+              UNION ALL SELECT NULL, label, coalesce("count", 0), shard_id FROM type_counts WHERE label IS NOT NULL AND count_id IS NULL),
 stats AS (SELECT label, CAST(sum(c) AS BIGINT) AS total, count(DISTINCT s) AS n_shards FROM once GROUP BY label),
 shards AS (SELECT count(DISTINCT shard_id) AS n, CAST(coalesce(sum(n_types), 0) AS BIGINT) AS t FROM simple_vocab),
 marked AS (SELECT label, total, n_shards, total < 5 AS rare, n > 0 AND n_shards * 2 >= n AS common, t AS n_types FROM stats, shards)
@@ -125,5 +128,5 @@ SQL = {
     "p4_found": _ONCE + "SELECT label, 'rare' AS mark FROM marked WHERE rare UNION ALL SELECT label, 'common' FROM marked WHERE common",
     "p4_term_stats": _ONCE + "SELECT * FROM marked",
     "p5_found": _ONCE + "SELECT label FROM stats ORDER BY total DESC, label LIMIT 20",
-    "p5_top_intervals": _ONCE + "SELECT label, total, TRUE AS above_lower, TRUE AS below_upper FROM stats ORDER BY total DESC, label LIMIT 20",
+    "p5_top_intervals": _ONCE + "SELECT label, total, TRUE AS inside, TRUE AS narrow FROM stats ORDER BY total DESC, label LIMIT 20",
 }
