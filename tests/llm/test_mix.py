@@ -60,8 +60,7 @@ def test_a_total_that_cannot_be_met_uses_all_there_is(spark):
 
 
 def test_flow_prefers_first_copies():
-    t = [mix.Target("a", 0.5, 3), mix.Target("b", 0.5, 3)]
-    routed = mix.route({("a",): 100, ("a", "b"): 100, ("b",): 40}, t, {"a": 120, "b": 120})
+    routed = mix.route({(("a",), 3): 100, (("a", "b"), 3): 100, (("b",), 3): 40}, {"a": 120, "b": 120})
     by_copy = Counter()
     for (_, c, _), n in routed.items():
         by_copy[c] += n
@@ -69,6 +68,35 @@ def test_flow_prefers_first_copies():
     assert sum(n for (_, _, s), n in routed.items() if s == "a") == 120
 
 
+def test_best_fit():
+    assert sorted(mix.best_fit(13, [1, 2, 4, 8, 16])) == [0, 2, 3]
+    assert mix.best_fit(7, [8, 9]) == [0] and mix.best_fit(3, [8]) == [] and mix.best_fit(5, []) == []
+
+
+def test_few_large_texts_meet_their_shares(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice("ab"), f"k{i}", rng.choice([3, 40, 400, 4000])) for i in range(300)]
+    rows += [(1000, "c", "long", 9000), *((2000 + i, "c", f"c{i}", 60) for i in range(40))]
+    made = mix.mix_sources(frame(spark, rows), targets(spark))
+    for r in made.shares.collect():
+        assert r["source"] == "none" or abs(r["tokens"] - r["quota_tokens"]) <= 0.02 * r["quota_tokens"], r
+
+
+def test_rare_patterns_count_for_one_source(spark):
+    rng = random.Random(9)
+    rows = [(10 * i + j, s, f"k{i}", 5 + i % 50) for i in range(600) for j, s in enumerate(rng.sample("abc", rng.choice([1, 1, 2, 3])))]
+    made = mix.mix_sources(frame(spark, rows), targets(spark), most_patterns=1)
+    copies, key = Counter(), {r[0]: r[2] for r in rows}
+    own = defaultdict(set)
+    for r in rows:
+        own[r[2]].add(r[1])
+    for r in made.chosen.collect():
+        copies[key[r["doc_id"]]] += r["copies"]
+    limit = {s: m for s, _, m in TARGETS}
+    assert all(n <= min(limit[s] for s in own[k]) for k, n in copies.items())
+    assert all(r["met"] for r in made.shares.collect() if r["source"] != "none")
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, "k", 5), (2, "zzz", "q", 5), (3, "a", "e", 0)]])
 def test_nothing_to_mix(spark, rows):
     made = mix.mix_sources(frame(spark, rows), targets(spark))

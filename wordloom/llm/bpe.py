@@ -144,19 +144,20 @@ def _encode_batches(ranks: dict[bytes, int], lengths_only: bool, batches: Iterat
     encoder, split = Encoder(ranks), _pattern().findall
     ids_of = encoder.__getitem__
     for batch in batches:
-        offsets, parts = [0], []
-        for text in batch.column(batch.num_columns - 1).to_pylist():
-            ids = np.fromiter(chain.from_iterable(map(ids_of, split(text))), np.int32) if text else np.empty(0, np.int32)
-            offsets.append(offsets[-1] + len(ids))
-            if not lengths_only:
-                parts.append(ids)
+        # texts that are repeated in a batch are encoded once
+        texts = batch.column(batch.num_columns - 1).dictionary_encode()
+        place = texts.indices.fill_null(len(texts.dictionary)).to_numpy(zero_copy_only=False)
+        parts = [np.fromiter(chain.from_iterable(map(ids_of, split(text))), np.int32) if text else np.empty(0, np.int32) for text in texts.dictionary.to_pylist()]
+        parts.append(np.empty(0, np.int32))
+        lengths = np.array([len(p) for p in parts], np.int64)[place]
         kept = batch.columns[:-1]
         names = batch.schema.names[:-1]
         if lengths_only:
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(offsets).astype(np.int64))], names=[*names, "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(lengths)], names=[*names, "n_tokens"])
         else:
-            values = pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32))
-            yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=[*names, "ids"])
+            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            values = pa.array(np.concatenate([parts[i] for i in place]) if len(place) else np.empty(0, np.int32))
+            yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(offsets), values)], names=[*names, "ids"])
 
 
 def _mapped(df: DataFrame, keep: list[str], text: str, name: str, directory: str, lengths_only: bool) -> DataFrame:

@@ -75,10 +75,10 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
 
 
-def _mix(spark: SparkSession, sf_dir: str) -> mix.Mix:
+def _mix(spark: SparkSession, sf_dir: str, total=None) -> mix.Mix:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).where(F.col("source").isNotNull() & F.col("text").isNotNull())
     docs = docs.select("doc_id", "source", F.md5("text").alias("key"), "text")
-    return mix.mix_sources(bpe.count_tokens(docs, ["doc_id", "source", "key"]), table(spark, sf_dir, "mix_targets"))
+    return mix.mix_sources(bpe.count_tokens(docs, ["doc_id", "source", "key"]), table(spark, sf_dir, "mix_targets"), total=total)
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +91,17 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).shares
 
 
+def p8_met(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each source is within 2 in 100 of its quota, or nearer than its smallest text is long."""
+    off, near = F.abs(F.col("tokens") - F.col("quota_tokens")), F.greatest(F.col("quota_tokens") * 0.02, F.col("least_text"))
+    return _mix(spark, sf_dir).shares.select("source", "target_share", "max_repeats", ((F.col("n_texts") > 0) & (off <= near)).alias("met"))
+
+
+def p8_shares_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p8_shares for a mix of the size of all texts, where some targets cannot be met."""
+    return _mix(spark, sf_dir, "all").shares
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of personal data in documents."""
     return pii.find_personal_data(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "name_list"))
@@ -112,6 +123,8 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p8_met": p8_met,
+    "p8_shares_of_all": p8_shares_of_all,
     "p9_found": p9_found,
     "p9_masked": p9_masked,
 }
@@ -127,6 +140,7 @@ marked AS (SELECT label, total, n_shards, total < 5 AS rare, n > 0 AND n_shards
 SQL = {
     "p4_found": _ONCE + "SELECT label, 'rare' AS mark FROM marked WHERE rare UNION ALL SELECT label, 'common' FROM marked WHERE common",
     "p4_term_stats": _ONCE + "SELECT * FROM marked",
+    "p8_met": """SELECT source, target_share, max_repeats, coalesce(source IN (SELECT source FROM documents WHERE text <> '' AND source IS NOT NULL), FALSE) AS met FROM mix_targets""",
     "p5_found": _ONCE + "SELECT label FROM stats ORDER BY total DESC, label LIMIT 20",
     "p5_top_intervals": _ONCE + "SELECT label, total, TRUE AS inside, TRUE AS narrow FROM stats ORDER BY total DESC, label LIMIT 20",
 }
