@@ -96,7 +96,7 @@ _PLAN = re.compile(
     r"|0[1-9](?:([ .-])\d\d)(?:\1\d\d){3}"  # France
     r"|0[1-9]\d{1,4}(?:/| / )\d{3,9}(?:-\d{1,4})?"  # Germany
 )
-_ACCOUNT = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+_LONG = re.compile(r"[(A-Z]{0,2}\d[\d()./ -]{5,}[\dA-Z]")  # figures long enough to be looked at
 #: What may stand between a cue and its number.
 _PHONE_GAP = re.compile(r"[a-zA-Z]{0,4}[ .:=]*(?:(?:number|no|nr|is|ist|est|es|al|le|au|me|kurz|on|at|en el)\b[ .:=]*){0,2}")
 _FIGURE = re.compile(r"\d{4}-\d\d-\d\d|\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d{1,3}(?:[ .]\d{3})+|\d+\.\d+")
@@ -493,7 +493,8 @@ class Spotter:
             "person": (*PERSON_CUES, *NAME_PHRASES, *NAME_VERBS, *given, *names.family, *(f(b) for b in names.begins for f in (str.capitalize, str.upper))),
             "email": ("@", "(at)", "[at]", "{at}", " at ", " AT ", "( at )", "[ at ]", "arroba", "arobase", "(ät)", "[ät]", "(AT)", "[AT]"),
             "number": ("+", "00"),
-            "figure": [a + b for a in " (\t\n:" for b in "0123456789("] + [a + b for a in " \n(:" for b in "ABCEGHJKLMNOPRSTWXYZ"],
+            "figure": [a + b for a in " (\t\n:" for b in "0123456789("],
+            "coded": [a + b + c for a in "ABCEGHJKLMNOPRSTWXYZ" for b in "ABCEGHJKLMNPRSTWXYZ" for c in "0123456789"] + [a + b for a in "XYZ" for b in "0123456789"],
             "line": [f"\n{c}" for c in " \t>*•-"],
         }
         for kind, listed in words.items():
@@ -516,7 +517,9 @@ class Spotter:
         return False
 
     def _figure(self, text: str, at: int) -> tuple[int, int, str] | None:
-        """A number that needs no cue at ``at``, where a figure or capital letter stands."""
+        """A number that needs no cue at ``at``."""
+        if not _LONG.match(text, at):
+            return None
         found = _CHECKED.match(text, at)
         if found and _checked(found):
             return (*found.span(), "idnum")
@@ -531,7 +534,6 @@ class Spotter:
         """Disjoint ``(start, end, kind)`` in order of the text."""
         spans: list[tuple[int, int, str]] = []
         lines: dict[str, dict[int, list[tuple[int, int]]]] = {"address": {}, "person": {}}
-        accounts: list[tuple[int, int]] = []
         figures = {0} if text else set()
         for last, (length, kinds) in self.automaton.iter(text):
             begin, end = last + 1 - length, last + 1
@@ -549,6 +551,9 @@ class Spotter:
                         span, kind = _phone(text, begin - 1 if begin and text[begin - 1] == "(" else begin, False), "phone"
                 elif kind == "figure":
                     figures.add(last)
+                elif kind == "coded":
+                    if begin == 0 or not text[begin - 1].isalnum():
+                        figures.add(begin)
                 elif kind == "line":
                     figures.add(_LEAD.match(text, begin + 1).end())
                 else:
@@ -558,11 +563,7 @@ class Spotter:
         for at in figures:
             if at >= len(text):
                 continue
-            if text[at].isalpha():
-                account = _ACCOUNT.match(text, at)
-                if account and (at == 0 or not text[at - 1].isalnum()):
-                    accounts.append(account.span())
-            elif _POSTCODE.match(text, at):
+            if _POSTCODE.match(text, at):
                 lines["address"].setdefault(text.rfind("\n", 0, at) + 1, []).append((at, at + 5))
                 above = _before_postcode(text, at)
                 if above:
@@ -577,8 +578,6 @@ class Spotter:
                 anchors.sort()
                 found = _address(text, left, right, anchors) if kind == "address" else _people(text, left, right, self.names, anchors)
                 spans += [(*span, kind) for span in found]
-        if accounts:
-            spans = [x for x in spans if x[2] != "phone" or not any(s <= x[0] and x[1] <= e for s, e in accounts)]
         order = {k: i for i, k in enumerate(KINDS)}
         spans.sort(key=lambda s: (order[s[2]], s[0] - s[1], s[0]))
         taken: list[tuple[int, int, str]] = []
