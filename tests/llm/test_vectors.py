@@ -1,4 +1,7 @@
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wordloom.llm import vectors
@@ -43,8 +46,16 @@ def test_near_copies_of_one_vector_are_divided(spark):
     x = rng.normal(size=64) + 0.02 * rng.normal(size=(900, 64))
     ids = np.arange(900)
     df = frame(spark, ids, x)
-    plan = vectors.plan_cells(df.selectExpr("row_id id", "vec"), 64, 200)
+    v = vectors.packed(vectors.stepped(x))
+    codes = spark.createDataFrame([(int(i), b) for i, b in zip(ids, v.to_pylist())], "id long, v binary")
+    plan = vectors.plan_cells(codes, 64, 200)
     assert plan.divided and plan.divided[0]
+    # no task holds more than two groups of a cell, and cells at the limit stay whole
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), v], names=["id", "v"])
+    tiles = Counter()
+    for b in vectors._place_batches(plan, 64, iter([batch])):
+        tiles.update(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+    assert max(tiles.values()) <= 2 * 200 * 1.2
     # all rows are about equally near, so what counts is how near the ones found are
     got = vectors.most_similar(df, "row_id", "vec", cell_rows=200).toPandas()
     assert (got.groupby("id").size() == 5).all() and got["id"].nunique() == 900
@@ -72,6 +83,14 @@ def test_many_exact_copies(spark):
     assert got == brute(ids, x)
 
 
+def test_steps_keep_a_cosine():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 64)) * rng.uniform(0.01, 50, size=(500, 1))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = vectors.unpacked(vectors.packed(vectors.stepped(u.astype(np.float32))), 64)
+    assert abs((got.astype(float) @ got.T.astype(float)) - u @ u.T).max() < 3e-5
+
+
 def test_invalid_rows_repeats_and_empty_tables(spark):
     a, nan, inf = [1.0] * 64, float("nan"), float("inf")
     rows = [(1, a), (2, [2.0] * 64), (2, [2.0] * 64), (3, None), (4, a[:63]), (5, [0.0] * 64), (6, [nan, *a[1:]]), (7, [inf, *a[1:]]), (8, [None, *a[1:]]), (None, a), (9, [-1.0] * 64)]

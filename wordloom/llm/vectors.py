@@ -4,7 +4,8 @@ Vectors are spread over cells: random directions (columns of random
 rotations, both signs) act as cell centres and a vector joins the ``probes``
 nearest.  Within a cell randomly rotated one-bit codes with correction scalars
 estimate inner products, their error bound chooses the pairs to rerank, and
-reranking uses the vectors.  A cell above ``cell_rows`` is a dense group that
+reranking uses the vectors.  Valid vectors are made unit once and kept in a
+durable table, in 16 bits a component; all later passes read that.  A cell above ``cell_rows`` is a dense group that
 random directions can't separate: it is divided into tiles of bounded size that
 together compare every pair of its rows.
 """
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wordloom.durable import written
+
 #: Rows of a cell above which it is divided, and about the rows of each group it is divided into.
 CELL_ROWS = 24_000
 #: Copies of one vector above which the surplus stays out of the search.
@@ -97,12 +100,40 @@ def unit_rows(ids: pa.Array, vectors: pa.Array, dims: int) -> tuple[np.ndarray,
     return ids.take(pa.array(right)).to_numpy(zero_copy_only=False), x.astype(np.float32)
 
 
+#: Steps of a component, the largest of its vector being the last.
+_STEPS = 32_767
+
+
+def packed(x: np.ndarray) -> pa.Array:
+    """Rows as binary values."""
+    data = np.ascontiguousarray(x)
+    bounds = (np.arange(len(data) + 1) * data.shape[1] * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def stepped(x: np.ndarray) -> np.ndarray:
+    """Vectors in 16 bits a component; the length is lost."""
+    return np.rint(x * (_STEPS / np.abs(x).max(axis=1, keepdims=True))).astype(np.int16) if len(x) else x.astype(np.int16)
+
+
+def unpacked(values: pa.Array, dims: int) -> np.ndarray:
+    """Unit vectors of :func:`stepped` rows, off by about 1e-5 a component at most."""
+    begin = np.frombuffer(values.buffers()[1], np.int32)[values.offset] if len(values) else 0
+    x = np.frombuffer(values.buffers()[2], np.int16, len(values) * dims, begin).reshape(-1, dims).astype(np.float32) if len(values) else np.empty((0, dims), np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _unit_batches(dims: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, x = unit_rows(batch.column(0), batch.column(1), dims)
+        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), packed(stepped(x))], names=["id", "v"])
+
+
 def _count_batches(plan: CellPlan, dims: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of every cell in a partition."""
     counts = np.zeros(plan.cells, np.int64)
     for batch in batches:
-        _, x = unit_rows(batch.column(0), batch.column(1), dims)
-        counts += np.bincount(plan.assign(x)[1], minlength=plan.cells)
+        counts += np.bincount(plan.assign(unpacked(batch.column(1), dims))[1], minlength=plan.cells)
     cells = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(counts[cells], pa.int64())], names=["cell", "n"])
 
@@ -117,25 +148,23 @@ def _place_batches(plan: CellPlan, dims: int, batches: Iterator[pa.RecordBatch])
     bits, and the vector.
 
     A divided cell of ``g`` groups has a tile for each two groups and for each
-    group with itself, so a row is in ``g`` tiles.  Vectors are in half
-    precision, in divided cells in single precision.
+    group with itself, so a row is in ``g`` tiles.
     """
     groups = plan.divided[0] if plan.divided else {}
     hot = np.array(sorted(groups), np.int64)
     sizes = np.array([groups[c] for c in hot], np.int64)
     for batch in batches:
-        ids, x = unit_rows(batch.column(0), batch.column(1), dims)
-        ids = ids.astype(np.int64)
-        row, cell = plan.assign(x)
+        ids, v = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+        row, cell = plan.assign(unpacked(v, dims))
         at = np.searchsorted(hot, cell)
         inside = np.zeros(len(cell), bool)
         if len(hot):
             inside = hot[np.minimum(at, len(hot) - 1)] == cell
         bits = np.where(inside & (at < _MASK_BITS), np.int64(1) << np.minimum(at, _MASK_BITS), 0)
-        member = np.bitwise_or.reduce(bits.reshape(-1, plan.probes), axis=1) if len(x) else bits
+        member = np.bitwise_or.reduce(bits.reshape(-1, plan.probes), axis=1) if len(ids) else bits
         cold = np.flatnonzero(~inside)
         none = np.zeros(len(cold), np.int64)
-        yield from _placements(cell[cold], none, ids[row[cold]], none, none, x.astype(np.float16), row[cold])
+        yield from _placements(cell[cold], none, ids[row[cold]], none, none, v, row[cold])
         rows, where = row[inside], at[inside]
         if len(rows):
             n = sizes[where]
@@ -144,17 +173,14 @@ def _place_batches(plan: CellPlan, dims: int, batches: Iterator[pa.RecordBatch])
             each = np.repeat(np.arange(len(rows)), n)
             other = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
             tile = np.minimum(own[each], other) * n[each] + np.maximum(own[each], other)
-            yield from _placements(hot[where][each], tile, ids[rows[each]], own[each], seen[each], x, rows[each])
+            yield from _placements(hot[where][each], tile, ids[rows[each]], own[each], seen[each], v, rows[each])
 
 
-def _placements(cell, tile, ids, group, seen, x: np.ndarray, row: np.ndarray) -> Iterator[pa.RecordBatch]:
-    width = x.shape[1] * x.itemsize
+def _placements(cell, tile, ids, group, seen, v: pa.Array, row: np.ndarray) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(row), 20_000):
         part = slice(at, at + 20_000)
-        data = np.ascontiguousarray(x[row[part]])
-        bounds = (np.arange(len(data) + 1) * width).astype(np.int32)
-        binary = pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data.tobytes())])
-        yield pa.RecordBatch.from_arrays([*(pa.array(c[part]) for c in (cell, tile, ids, group, seen)), binary], names=["cell", "tile", "id", "group", "seen", "v"])
+        numbers = [pa.array(c[part]) for c in (cell, tile, ids, group, seen)]
+        yield pa.RecordBatch.from_arrays([*numbers, v.take(pa.array(row[part]))], names=["cell", "tile", "id", "group", "seen", "v"])
 
 
 class BitCodes:
@@ -294,17 +320,13 @@ def _search_batches(plan: CellPlan, dims: int, k: int, least: float, batches: It
 
     def result(cell: int, parts: list[tuple]) -> pa.RecordBatch:
         ids, x, group, seen = (np.concatenate(p) for p in zip(*parts))
-        # half precision costs about 3e-5 of a cosine; rows are made unit again
-        x = x.astype(np.float32)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
         a, b, c = search_tile(ids, x, group, seen, k, least) if cell in divided else search_cell(ids, x, k, least)
         return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(c.astype(np.float64))], names=["id", "other", "cosine"])
 
     current, parts = None, []
     for batch in batches:
         cell, tile, ids, group, seen = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        binary = batch.column(5)
-        bounds = np.frombuffer(binary.buffers()[1], np.int32)[binary.offset : binary.offset + len(ids) + 1]
+        x = unpacked(batch.column(5), dims)
         cuts = np.flatnonzero((cell[1:] != cell[:-1]) | (tile[1:] != tile[:-1])) + 1
         for s, e in zip([0, *cuts], [*cuts, len(ids)]):
             if s == e:
@@ -314,43 +336,33 @@ def _search_batches(plan: CellPlan, dims: int, k: int, least: float, batches: It
                 yield result(current[0], parts)
                 parts = []
             current = key
-            kind = np.float32 if key[0] in divided else np.float16
-            x = np.frombuffer(binary.buffers()[2], kind, (e - s) * dims, bounds[s]).reshape(-1, dims)
-            parts.append((ids[s:e], x.copy(), group[s:e], seen[s:e]))
+            parts.append((ids[s:e], x[s:e], group[s:e], seen[s:e]))
     if parts:
         yield result(current[0], parts)
 
 
-def _smallest_ids(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The ``n`` smallest distinct ids of each hash in a partition."""
-    held: dict[int, list[int]] = {}
-    for batch in batches:
-        for h, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids = held.setdefault(h, [])
-            if i not in ids and (len(ids) < n or i < ids[-1]):
-                ids.append(i)
-                ids.sort()
-                del ids[n:]
-    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.list_(pa.int64()))], names=["h", "ids"])
-
-
 def _split_copies(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:
     """Rows to search, and ``(id, ids)`` of surplus copies with the copies they pair with.
 
-    Of a vector with more than ``COPIES`` exact copies only the ``k + 1``
-    smallest ids are searched.  The others have ``k`` equals of cosine 1, and
-    so does any vector that would take them: ties go to the smaller id.
+    Of a vector with more than ``COPIES`` copies (equal in all its steps) only
+    the ``k + 1`` smallest ids are searched.  The others have ``k`` equals of
+    cosine 1, and so does any vector that would take them: ties go to the
+    smaller id.  A hash finds where copies may be, their values tell.
     """
-    hashed = rows.withColumn("h", F.xxhash64("vec"))
+    hashed = rows.withColumn("h", F.xxhash64("v"))
     many = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COPIES).select("h")
     if many.isEmpty():
         return rows, None
-    members = hashed.join(many, "h", "left_semi").select("h", "id")
-    few = members.mapInArrow(lambda it: _smallest_ids(k + 1, it), "h long, ids array<long>")
-    few = few.groupBy("h").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
-    joined = hashed.join(few, "h", "left")
+    members = hashed.join(many, "h", "left_semi").select("id", "v")
+    whole = members.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COPIES).select("v")
+    # the smallest ids of each salted part come first, so that no group is gathered whole
+    salted = members.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(1024)))
+    rank = F.dense_rank().over(Window.partitionBy("v", "s").orderBy("id"))
+    first = salted.withColumn("_rank", rank).where(F.col("_rank") <= k + 1).groupBy("v").agg(F.collect_set("id").alias("ids"))
+    few = first.join(whole, "v", "left_semi").select("v", F.slice(F.array_sort("ids"), 1, k + 1).alias("ids"))
+    joined = rows.join(few, "v", "left")
     extra = F.col("ids").isNotNull() & ~F.array_contains("ids", F.col("id"))
-    return joined.where(~F.coalesce(extra, F.lit(False))).select("id", "vec"), joined.where(extra).select("id", "ids", "vec")
+    return joined.where(~F.coalesce(extra, F.lit(False))).select("id", "v"), joined.where(extra).select("id", "ids")
 
 
 def plan_cells(rows: DataFrame, dims: int, cell_rows: int = CELL_ROWS) -> CellPlan:
@@ -374,13 +386,15 @@ def most_similar(df: DataFrame, row_id: str, vector: str, dims: int = 64, k: int
     id are one row (their vectors are taken to be equal).  Ties go to the
     smaller id.  The search is approximate: a pair is found if the two share
     one of their nearest cells (measured recall is in the README); cosines are
-    exact to about 3e-5.  An empty table, or one without valid rows, gives no
+    exact to 5e-6 as a rule and 3e-5 at most.  An empty table, or one without valid rows, gives no
     rows.
     """
     spark = df.sparkSession
     rows = df.select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vec"))
-    rows = rows.where(F.col("id").isNotNull() & (F.size("vec") == dims))
+    rows = written(rows.mapInArrow(lambda it: _unit_batches(dims, it), "id long, v binary"))
     rows, surplus = _split_copies(rows, k)
+    if surplus is not None:
+        rows = written(rows)
     plan = plan_cells(rows, dims, cell_rows)
     shared = spark.sparkContext.broadcast(plan)  # bounded, see plan_cells
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -394,8 +408,7 @@ def most_similar(df: DataFrame, row_id: str, vector: str, dims: int = 64, k: int
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))
     out = best.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
     if surplus is not None:
-        good = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists("vec", lambda v: v != 0)
-        pairs = surplus.where(good).select("id", F.explode(F.slice("ids", 1, k)).alias("other"), F.lit(1.0).alias("cosine")).distinct()
+        pairs = surplus.select("id", F.explode(F.slice("ids", 1, k)).alias("other"), F.lit(1.0).alias("cosine")).distinct()
         out = out.unionByName(pairs)
     return out
 
