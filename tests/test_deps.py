@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -86,6 +88,49 @@ def test_projective_trees_and_lifting(spark, tree):
     assert [n["head"] for n in lifted] == [3, 3, 0, 3] and [n["rel"] for n in lifted] == ["x", "y", "z", "u"]
 
 
+def plain_lift(parent):
+    """Lifting written out: every arc is looked at again after each lift."""
+    parent = list(parent)
+
+    def under(j, h):
+        while j >= 0 and j != h:
+            j = parent[j]
+        return j == h
+
+    while True:
+        bad = [(abs(p - i), i) for i, p in enumerate(parent) if p >= 0 and any(not under(j, p) for j in range(min(i, p) + 1, max(i, p)))]
+        if not bad:
+            return parent
+        i = min(bad)[1]
+        parent[i] = parent[parent[i]]
+
+
+def random_tree(rng, n):
+    order = rng.permutation(n)
+    parent = [-1] * n
+    for k in range(1, n):
+        parent[order[k]] = int(order[rng.integers(0, k)]) if rng.random() < 0.95 else -1
+    return parent
+
+
+def test_lifting_equals_the_plain_loop():
+    rng = np.random.default_rng(12)
+    for n in [1, 2, 3, *rng.integers(4, 40, size=150).tolist()]:
+        parent = random_tree(rng, n)
+        assert deps.lift(parent) == plain_lift(parent)
+    assert deps.lift([1, 2, 0, -1]) == [1, 2, 0, -1]  # a cycle
+    began = time.time()
+    deps.lift(random_tree(rng, 2000))
+    assert time.time() - began < 30
+
+
+def test_cycles_end_after_their_own_size_whatever_else_is_in_the_batch(spark):
+    node = lambda i, h: (i, f"w{i}", h, "r")
+    rows = [(1, [node(1, 2), node(2, 1)]), (2, [node(i, i - 1) for i in range(1, 30)])]
+    df = spark.createDataFrame(rows, "sent_id long, nodes array<struct<id:int,form:string,head:int,rel:string>>").coalesce(1)
+    assert deps.dependency_contexts(df, DepembedsConfig(depth=0, use_root=True)).where("sent_id = 1").count() == 8
+
+
 def test_training_pairs_keep_tokens_without_contexts(spark, tree):
     words = build_vocabulary(tree.select(F.explode("nodes.form").alias("token")), SimpleVocabConfig(Cutoff("MinCount", 1), 1e9)).table
     config = DepembedsConfig(depth=1)

@@ -6,6 +6,8 @@ tokens of an Arrow batch; options are column expressions behind it.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Iterator
 from dataclasses import replace
 
@@ -64,20 +66,21 @@ class _Flat:
         self.head = np.full(len(ids), -1)
         self.head[hit] = order[at[hit]]
         self.sent_id = sent_ids.take(pa.array(self.tree))
+        self.sizes = sizes
         self.longest = int(sizes.max(initial=0))
 
 
 def _climb(flat: _Flat, max_depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """``(depth, node, current, head)`` of all tokens still below the root.
 
-    Depth 0 means unlimited; a cycle ends after as many steps as the longest
-    tree has nodes.
+    Depth 0 means unlimited; a cycle ends after as many steps as its tree has nodes.
     """
+    steps = flat.sizes[flat.tree]
     node = current = np.arange(len(flat.head))
     for depth in range(1, min(max_depth or flat.longest, flat.longest) + 1):
         head = flat.head[current]
         yield depth, node, current, head
-        up = head >= 0
+        up = (head >= 0) & (depth < steps[node])
         node, current = node[up], head[up]
         if not len(node):
             return
@@ -298,50 +301,136 @@ def training_pairs(trees: DataFrame, config: DepembedsConfig, words: DataFrame,
     return joined.select("sent_id", "pos", "focus_idx", F.coalesce(F.col("found.idx"), F.array().cast("array<long>")).alias("contexts"))
 
 
-def _lift(ids: list[int], heads: list[int]) -> list[int]:
-    """Heads after lifting: the shortest non-projective arc (the leftmost of
-    equals) moves to its head's head until the tree is projective."""
-    at = {x: i for i, x in enumerate(ids)}
-    heads = list(heads)
-
-    def above(i: int, goal: int) -> bool:
-        for _ in range(len(ids) + 1):
-            if ids[i] == goal:
+def _tour(parent: list[int]) -> tuple[list[int], list[int], list[list[int]]] | None:
+    """``(first, last, children)`` of a walk over the tree: the descendants of
+    a node, and itself, are those with first numbers in its range.  None if a
+    cycle keeps nodes from the root."""
+    children: list[list[int]] = [[] for _ in parent]
+    stack = []
+    for i, p in enumerate(parent):
+        (stack if p < 0 else children[p]).append(i)
+    first, order = [0] * len(parent), []
+    while stack:
+        i = stack.pop()
+        first[i] = len(order)
+        order.append(i)
+        stack += children[i]
+    if len(order) < len(parent):
+        return None
+    size = [1] * len(parent)
+    for i in reversed(order):
+        if parent[i] >= 0:
+            size[parent[i]] += size[i]
+    return first, [f + n for f, n in zip(first, size)], children
+
+
+def _crossed(parent: list[int], first: list[int], last: list[int]) -> list[int]:
+    """Tokens whose arc spans a token that is no descendant of its head."""
+    p, f, l = (np.array(x) for x in (parent, first, last))
+    i = np.flatnonzero((p >= 0) & (np.abs(p - np.arange(len(p))) > 1))
+    if not len(i):
+        return []
+    lo, hi = np.minimum(i, p[i]) + 1, np.maximum(i, p[i])
+    level = np.floor(np.log2(hi - lo)).astype(int)
+    least, most = np.empty(len(i), int), np.empty(len(i), int)
+    low = high = f  # extremes over runs of 2^k tokens
+    for k in range(int(level.max()) + 1):
+        at = level == k
+        least[at] = np.minimum(low[lo[at]], low[hi[at] - (1 << k)])
+        most[at] = np.maximum(high[lo[at]], high[hi[at] - (1 << k)])
+        step = 1 << k
+        low, high = np.minimum(low[:-step], low[step:]), np.maximum(high[:-step], high[step:])
+    head = p[i]
+    return i[(least < f[head]) | (most >= l[head])].tolist()
+
+
+def lift(parent: list[int]) -> list[int]:
+    """Heads (positions, -1 for the root) after lifting: the shortest arc that
+    is not projective, the leftmost of equals, moves to its head's head until
+    none is left.
+
+    A lift takes a subtree from one node only, so of all other arcs just those
+    of that node can become non-projective, and only where they span the
+    subtree.  Something with a cycle is no tree and comes out as it is.
+    """
+    tour = _tour(parent)
+    if tour is None:
+        return parent
+    first, last, children = tour
+    bad = _crossed(parent, first, last)
+    if not bad:
+        return parent
+    parent, crossed = list(parent), set(bad)
+    heap = [(abs(parent[i] - i), i) for i in bad]
+    heapq.heapify(heap)
+
+    def spans_stranger(i: int, head: int) -> bool:
+        known = {head}
+        for j in range(min(i, head) + 1, max(i, head)):
+            path = []
+            while j >= 0 and j not in known:
+                path.append(j)
+                j = parent[j]
+            if j < 0:
                 return True
-            if heads[i] not in at:
-                return goal == 0
-            i = at[heads[i]]
+            known.update(path)
         return False
 
-    for _ in range(len(ids) ** 2 + 1):
-        best = None
-        for i, h in enumerate(heads):
-            if h not in at:
-                continue
-            lo, hi = sorted((i, at[h]))
-            if any(not above(j, h) for j in range(lo + 1, hi)) and (best is None or hi - lo < best[0]):
-                best = (hi - lo, i)
-        if best is None:
-            break
-        i = best[1]
-        up = heads[at[heads[i]]]
-        heads[i] = up if up in at and up != ids[i] else 0
-    return heads
+    while heap:
+        length, i = heapq.heappop(heap)
+        old = parent[i]
+        if i not in crossed or length != abs(old - i):
+            continue
+        crossed.discard(i)
+        up = parent[old]
+        children[old].remove(i)
+        parent[i] = up
+        rest = [c for c in children[old] if c not in crossed and abs(c - old) > 1]
+        if rest:
+            moved, stack = [], [i]
+            while stack:
+                moved.append(stack.pop())
+                stack += children[moved[-1]]
+            moved.sort()
+            for c in rest:
+                lo, hi = min(c, old), max(c, old)
+                if bisect.bisect_right(moved, lo) < bisect.bisect_left(moved, hi):
+                    crossed.add(c)
+                    heapq.heappush(heap, (hi - lo, c))
+        if up >= 0:
+            children[up].append(i)
+            if spans_stranger(i, up):
+                crossed.add(i)
+                heapq.heappush(heap, (abs(up - i), i))
+    return parent
 
 
 def _projective_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    node = pa.struct([("id", pa.int32()), ("form", pa.string()), ("head", pa.int32()), ("rel", pa.string())])
     for batch in batches:
-        trees = batch.column(1).to_pylist()
-        for tree in trees:
-            if tree:
-                for n, head in zip(tree, _lift([n["id"] for n in tree], [n["head"] or 0 for n in tree])):
-                    n["head"] = head
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees, pa.list_(node))], names=["sent_id", "nodes"])
+        flat = _Flat(batch.column(0), batch.column(1))
+        trees = batch.column(1)
+        nodes = trees.flatten()
+        parent = np.where(flat.head >= 0, flat.position[np.maximum(flat.head, 0)], -1) if len(flat.head) else flat.head
+        ids, heads = (nodes.field(i).fill_null(0).to_numpy(zero_copy_only=False) for i in (0, 2))
+        heads = heads.copy()
+        for begin, size in zip(flat.begin.tolist(), flat.sizes.tolist()):
+            before = parent[begin : begin + size].tolist()
+            after = lift(before)
+            for i in (i for i in range(size) if after[i] != before[i]) if after is not before else ():
+                heads[begin + i] = ids[begin + after[i]] if after[i] >= 0 else 0
+        fields = [nodes.field(i) for i in range(4)]
+        fields[2] = pa.array(heads.astype(np.int32))
+        made = pa.StructArray.from_arrays(fields, names=["id", "form", "head", "rel"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(flat.sizes)]).astype(np.int32)), made)
+        if trees.null_count:
+            lists = pa.compute.if_else(trees.is_valid(), lists, pa.scalar(None, lists.type))
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["sent_id", "nodes"])
 
 
 def projectivize(trees: DataFrame) -> DataFrame:
     """Trees made projective by lifting arcs; relations keep their label.
-    Already projective trees, and those with cycles beyond lifting, come out
-    as they are or as far as lifting goes."""
+
+    Projective trees come out as they are, also nodes with a cycle (no lift
+    makes them a tree); null heads become 0.
+    """
     return trees.select("sent_id", "nodes").mapInArrow(_projective_batches, f"sent_id long, nodes array<{NODE}>")
