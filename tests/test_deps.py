@@ -174,3 +174,34 @@ def test_scans_of_files(spark, tmp_path):
     (tmp_path / "c.txt").write_text(f"{BLOCK}\n\n\n\n{BLOCK}\n")
     trees = corpus.parse_trees(corpus.read_blocks(spark, str(tmp_path / "c.txt"))).collect()
     assert [len(r["nodes"]) for r in trees] == [6, 6]
+
+
+def test_byte_ranges_give_every_line_once(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    for f in range(2):
+        lines = ["é" * int(rng.integers(0, 30)) + str(i) for i in range(300)]
+        (tmp_path / f"{f}.txt").write_text("\n".join(lines) + "\n" * f, encoding="utf-8")
+    want = sorted(x for f in range(2) for x in (tmp_path / f"{f}.txt").read_text(encoding="utf-8").rstrip("\n").split("\n"))
+    for parts in (1, 3, 40):
+        got = corpus.read_parts(spark, str(tmp_path), parts).collect()
+        assert sorted(r["value"] for r in got) == want and max(r["part"] for r in got) < parts
+    (tmp_path / "0.txt").write_text("a\nb\n\nc\n\nd")
+    (tmp_path / "1.txt").unlink()
+    assert sorted(r["value"] for r in corpus.read_parts(spark, str(tmp_path), 3, "\n\n").collect()) == ["a\nb", "c", "d"]
+
+
+def test_strict_trees_and_carriage_returns(spark, tmp_path):
+    good = spark.createDataFrame([(1, BLOCK)], "sent_id long, value string")
+    assert len(corpus.parse_trees(good, strict=True).first()["nodes"]) == 6
+    for bad in ("1\tw\t_\t_\t_\t_\tx\tdep", "1\tw", "no row at all"):
+        with pytest.raises(Exception, match="malformed tree"):
+            corpus.parse_trees(spark.createDataFrame([(bad,)], "value string"), strict=True).collect()
+    (tmp_path / "c.txt").write_bytes(f"{BLOCK}\n\n{BLOCK}\n".replace("\n", "\r\n").encode())
+    trees = corpus.parse_trees(corpus.read_blocks(spark, str(tmp_path / "c.txt")), strict=True).collect()
+    assert [len(r["nodes"]) for r in trees] == [6, 6] and trees[0]["nodes"][-1]["rel"] == "DEP"
+
+
+def test_too_many_lines_in_a_document(spark):
+    docs = spark.createDataFrame([(1, "a\n" * 100_001)], "doc_id long, text string")
+    with pytest.raises(Exception, match="too many lines"):
+        corpus.document_sentences(docs).agg(F.max("sent_id")).collect()

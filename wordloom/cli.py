@@ -117,7 +117,7 @@ def run(spark: SparkSession, config: RunConfig) -> None:
         lines = corpus.tokenised(corpus.read_lines(spark, config.corpus))
         source = lines.select(F.monotonically_increasing_id().alias("sent_id"), "tokens")
     else:
-        blocks = corpus.parse_trees(corpus.read_blocks(spark, config.corpus))
+        blocks = corpus.parse_trees(corpus.read_blocks(spark, config.corpus), strict=True)
         source = blocks.select(F.monotonically_increasing_id().alias("sent_id"), "nodes")
     vocab, vectors, trained = fit(spark, config, source)
     sinks.write_model(vocab.table, vectors, trained.params, config, info)

@@ -54,13 +54,15 @@ def code_point_bucket(ngram: Column, exponent: int) -> Column:
     if not 1 <= exponent <= 31:
         raise ValueError("the exponent of the buckets lies in 1..31")
     m = (1 << exponent) - 1
-    p1, p2, p8 = (F.lit(pow(FNV64_PRIME, k, 1 << exponent)).cast("long") for k in (1, 2, 8))
+    p1, p2, p4 = (F.lit(pow(FNV64_PRIME, k, 1 << exponent)).cast("long") for k in (1, 2, 4))
     mask = F.lit(m).cast("long")
     byte = lambda c, shift: F.shiftright(F.ascii(c).cast("long"), shift).bitwiseAND(255)
     times = lambda h, p: (h * p).bitwiseAND(mask)
     basis = F.lit(FNV64_BASIS & m).cast("long")
-    # lengths stay below 256: only the first of the eight bytes can differ from zero
-    start = times(basis.bitwiseXOR(F.length(ngram).cast("long")), p8)
+    start = basis
+    for shift in (0, 8, 16, 24):  # a length has 31 bits
+        start = times(start.bitwiseXOR(F.shiftright(F.length(ngram).cast("long"), shift).bitwiseAND(255)), p1)
+    start = times(start, p4)
 
     def step(h: Column, c: Column) -> Column:
         for shift in (0, 8):

@@ -24,12 +24,12 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.config import CommonConfig
 from wordloom.durable import remove, shared_dir, written_at
-from wordloom.functions.vectors import logistic_loss
 from wordloom.operators.examples import Layout, Work
 
 PARAMS = "matrix int, row_id long, vec array<float>"
@@ -43,13 +43,74 @@ LEAST_CURVE = 0.25
 
 log = logging.getLogger("wordloom")
 
-def learning_rate(processed: int, epochs: int, n_tokens: int, lr: float) -> float:
-    """The rate after ``processed`` kept focus tokens, never below 0."""
+def learning_rate(processed, epochs: int, n_tokens: int, lr: float):
+    """The rate after ``processed`` kept focus tokens (a number or a column), never below 0."""
+    if isinstance(processed, Column):
+        goal = F.lit(float(epochs * n_tokens))
+        return F.greatest(F.lit(0.0), F.coalesce((1 - F.try_divide(processed.cast("double"), goal)) * F.lit(lr), F.lit(0.0)))
     return max(0.0, (1 - processed / (epochs * n_tokens)) * lr) if epochs * n_tokens else 0.0
 
 
-def _by_dim(params: DataFrame, name: str) -> DataFrame:
-    return params.select(F.col("row_id"), F.posexplode("vec").alias("dim", name)).withColumn(name, F.col(name).cast("double"))
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of rows sorted by the columns ``keys``, each key in one batch
+    only, with the starts of the keys."""
+    held: list[pa.RecordBatch] = []
+
+    def starts(batch: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(batch.num_rows, bool)
+        new[:1] = True
+        for i in keys:
+            values = batch.column(i).to_numpy(zero_copy_only=False)
+            new[1:] |= values[1:] != values[:-1]
+        return np.flatnonzero(new)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        both = pa.concat_batches([*held, batch])
+        at = starts(both)
+        if len(at) > 1:
+            yield both.slice(0, at[-1]), at[:-1]
+        held = [both.slice(at[-1])]
+    if held:
+        yield held[0], np.zeros(1, int)
+
+
+def _step_batches(lr: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The changes of whole examples, vectors as arrays."""
+    for rows, start in whole_groups(batches, [0]):
+        ex_id, role, row_id, label = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        vec = _vectors(rows.column(4))
+        sizes = np.diff(np.append(start, len(ex_id)))
+        group, inn = np.repeat(np.arange(len(start)), sizes), role == INPUT
+        many = np.add.reduceat(inn.astype(int), start)
+        u = np.add.reduceat(vec * inn[:, None], start) / np.maximum(many, 1)[:, None]
+        live = ~inn & (many[group] > 0)
+        a = np.where(live, np.einsum("ij,ij->i", vec, u[group]), 0.0)
+        y = np.where(a > 10, 1.0, np.where(a < -10, 0.0, 1 / (1 + np.exp(-np.clip(a, -10, 10)))))
+        loss = np.where(live, -np.log(np.where(label == 1, y, 1 - y) + 1e-5), 0.0)
+        g = np.where(live, lr * (label - y), 0.0)
+        back = np.add.reduceat(g[:, None] * vec, start)
+        fed = inn & np.logical_or.reduceat(live, start)[group]
+        told = np.flatnonzero(np.logical_or.reduceat(live, start))
+        parts = [("out", row_id[live], g[live, None] * u[group[live]]), ("in", row_id[fed], back[group[fed]]), ("loss", ex_id[start][told], np.add.reduceat(loss, start)[told, None])]
+        for kind, ids, values in parts:
+            offsets = pa.array((np.arange(len(ids) + 1) * values.shape[1]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(ids), pa.string()), pa.array(ids), pa.ListArray.from_arrays(offsets, pa.array(values.ravel()))], names=["kind", "id", "value"])
+
+
+def _sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, start in whole_groups(batches, [0, 1]):
+        kinds = rows.column(0).take(pa.array(start))
+        loss = kinds[0].as_py() == "loss"
+        if any((k == "loss") != loss for k in pc.unique(kinds).to_pylist()):  # losses have one number: apart from the vectors
+            lone = pc.equal(rows.column(0), "loss")
+            for some in (rows.filter(lone), rows.filter(pc.invert(lone))):
+                yield from _sum_batches(iter([some]))
+            continue
+        values = np.add.reduceat(_vectors(rows.column(2)), start)
+        offsets = pa.array((np.arange(len(start) + 1) * values.shape[1]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([kinds, rows.column(1).take(pa.array(start)), pa.ListArray.from_arrays(offsets, pa.array(values.ravel()))], names=["kind", "id", "value"])
 
 
 def relational_step(examples: DataFrame, inputs: DataFrame, outputs: DataFrame, lr: float) -> DataFrame:
@@ -60,24 +121,19 @@ def relational_step(examples: DataFrame, inputs: DataFrame, outputs: DataFrame,
     share the focus ``ids``.  ``kind`` is ``in`` or ``out`` for the change of
     row ``id``, ``loss`` for the summed loss of example ``id``.  For one focus
     whose outputs do not repeat this equals the sequential order; otherwise it
-    is a synchronous mini-batch.
+    is a synchronous mini-batch.  Vectors travel as arrays: one join a matrix,
+    one exchange by example and one by row.
     """
-    focus = examples.select("ex_id", "ids").dropDuplicates(["ex_id"])
-    spread = focus.select("ex_id", F.explode("ids").alias("row_id"))
-    mean = spread.join(_by_dim(inputs, "v"), "row_id").groupBy("ex_id", "dim").agg(F.avg("v").alias("u"))
-    pairs = examples.select("ex_id", "k", F.col("output").alias("row_id"), "label")
-    wide = pairs.join(_by_dim(outputs, "w"), "row_id").join(mean, ["ex_id", "dim"])
-    scored = wide.groupBy("ex_id", "k", "label").agg(F.sum(F.col("u") * F.col("w")).alias("dot"))
-    judged = scored.withColumn("judged", logistic_loss(F.col("dot"), F.col("label"))).select(
-        "ex_id", "k", F.col("judged.loss").alias("loss"), (F.col("judged.grad") * F.lit(lr)).alias("g")
-    )
-    flow = wide.join(judged, ["ex_id", "k"])
-    out = flow.groupBy("row_id", "dim").agg(F.sum(F.col("g") * F.col("u")).alias("value"))
-    back = flow.groupBy("ex_id", "dim").agg(F.sum(F.col("g") * F.col("w")).alias("d"))
-    inn = spread.join(back, "ex_id").groupBy("row_id", "dim").agg(F.sum("d").alias("value"))
-    loss = judged.groupBy(F.col("ex_id").alias("row_id")).agg(F.sum("loss").alias("value")).withColumn("dim", F.lit(-1))
-    shape = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col("row_id").alias("id"), F.col("dim").cast("int").alias("dim"), "value")
-    return shape(out, "out").unionByName(shape(inn, "in")).unionByName(shape(loss, "loss"))
+    vectors = lambda df: df.select("row_id", F.col("vec").cast("array<double>").alias("vec"))
+    shape = lambda df, role: df.select("ex_id", F.lit(role).alias("role"), "row_id", "label", "vec")
+    focus = examples.select("ex_id", "ids").dropDuplicates(["ex_id"]).select("ex_id", F.explode("ids").alias("row_id"), F.lit(0).alias("label"))
+    pairs = examples.select("ex_id", F.col("output").alias("row_id"), F.col("label").cast("int").alias("label"))
+    rows = shape(focus.join(vectors(inputs), "row_id"), INPUT).unionByName(shape(pairs.join(vectors(outputs), "row_id"), OUTPUT))
+    changes = rows.repartition("ex_id").sortWithinPartitions("ex_id").mapInArrow(lambda it: _step_batches(lr, it), "kind string, id long, value array<double>")
+    # in, loss, out: the kinds in order
+    summed = changes.repartition("kind", "id").sortWithinPartitions("kind", "id").mapInArrow(_sum_batches, "kind string, id long, value array<double>")
+    flat = summed.select("kind", "id", F.posexplode("value").alias("dim", "value"))
+    return flat.withColumn("dim", F.when(F.col("kind") == "loss", -1).otherwise(F.col("dim")))
 
 
 def train_loss(losses: DataFrame, loss: str = "loss", label: str = "label") -> DataFrame:
@@ -225,14 +281,10 @@ def _touched_batches(expand: Callable[[pa.RecordBatch], Work], batches: Iterator
 
 
 def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by matrix, row and kind, each parameter row before its
-    deltas; the rows of the last key wait for the next batch."""
-    held: list[pa.RecordBatch] = []
-
-    def merged(rows: pa.RecordBatch) -> pa.RecordBatch:
-        matrix, row_id, kind, curve = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+    """Rows come sorted by matrix, row and kind: each parameter row before its deltas."""
+    for rows, start in whole_groups(batches, [0, 1]):
+        matrix, row_id, curve = (rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
         vec = _vectors(rows.column(4)).astype(np.float64)
-        start = np.flatnonzero(kind == 0)
         base = vec[start]
         vec[start] = 0
         delta = np.add.reduceat(vec, start)
@@ -241,21 +293,7 @@ def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         out = (base + delta * factor[:, None]).astype(np.float32)
         offsets = pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1])
         columns = [pa.array(matrix[start]), pa.array(row_id[start]), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))]
-        return pa.RecordBatch.from_arrays(columns, names=["matrix", "row_id", "vec"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        starts = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False) == 0)
-        if not len(starts):
-            held.append(batch)
-            continue
-        ready = [*held, batch.slice(0, starts[-1])]
-        held = [batch.slice(starts[-1])]
-        if sum(r.num_rows for r in ready):
-            yield merged(pa.concat_batches(ready))
-    if held:
-        yield merged(pa.concat_batches(held))
+        yield pa.RecordBatch.from_arrays(columns, names=["matrix", "row_id", "vec"])
 
 
 def merge_changes(params: DataFrame, changes: DataFrame) -> DataFrame:
