@@ -76,6 +76,10 @@ class Vocabulary:
     def n_input_types(self) -> int:
         return self.size + self.n_subwords
 
+    def lookup(self, labels: DataFrame, label: str = "label") -> DataFrame:
+        """``labels`` with the entry of each that is in the vocabulary."""
+        return labels.join(self.table.withColumnRenamed("label", label), label)
+
 
 def ranked(counted: DataFrame, cutoff: Cutoff, threshold: float, total: int) -> DataFrame:
     """``(label, count, idx, keep_prob)``, by count and then label, both descending."""

@@ -10,7 +10,8 @@ from wordloom.durable import written
 from wordloom.functions.text import FNV32_BASIS, FNV32_PRIME, FNV64_BASIS, FNV64_PRIME, WHITE, ngrams
 from wordloom.operators import pairs, subwords, vocab
 from wordloom.session import spread, table
-from wordloom.sources.corpus import document_sentences, document_trees
+from wordloom.operators.train import learning_rate
+from wordloom.sources.corpus import document_sentences, document_trees, parse_trees, read_parts, tokenised
 from wordloom.streaming.token_counts import streaming_token_counts
 
 CONTEXT = 5
@@ -98,6 +99,18 @@ def word_input_indices(spark, d):
     return _ids(table_.withColumn("all_ids", subwords.input_ids(table_)), "all_ids")
 
 
+def input_lengths(spark, d):
+    """The number of input rows of every word, and all rows of the input matrix."""
+    built = vocab.build_vocabulary(tokens(spark, d), SubwordVocabConfig())
+    return built.table.select("idx", F.size(subwords.input_ids(built.table)).alias("n_ids"), F.lit(built.n_input_types).alias("n_input_types"), F.lit(built.n_tokens).alias("n_tokens"))
+
+
+def vocab_lookup(spark, d):
+    """The entries of lexicon words in the vocabulary of documents."""
+    words = table(spark, d, "lexicon").select("word_id", F.col("word").alias("label"))
+    return simple_vocab(spark, d).lookup(words).select("word_id", "label", "idx", "count")
+
+
 def subsample_tokens(spark, d):
     t = written(tokens(spark, d))
     return pairs.kept_tokens(t, vocab.build_vocabulary(t, SimpleVocabConfig()).table)
@@ -122,8 +135,34 @@ def pair_counts_topk(spark, d):
     return counted.orderBy(F.desc("n"), "focus_idx", "output_idx").limit(100)
 
 
-def partition_token_budget(spark, d):
-    return tokens(spark, d).groupBy((F.col("sent_id") % 8).alias("part")).agg(F.count(F.lit(1)).alias("n_tokens"), F.countDistinct("sent_id").alias("n_sentences"))
+def _text_files(spark, d) -> str:
+    """The texts of documents as files of lines."""
+    return sinks_path(spark, lambda path: table(spark, d, "documents").where(F.col("text").isNotNull()).select("text").write.text(path))
+
+
+def sinks_path(spark, write) -> str:
+    """A new path in the shared folder, after ``write`` was called with it."""
+    import uuid
+
+    from wordloom.durable import shared_dir
+
+    path = f"{shared_dir(spark)}/wordloom-{uuid.uuid4().hex}"
+    write(path)
+    return path
+
+
+def partitioned_token_counts(spark, d):
+    """Token counts of files that are read in five byte ranges each."""
+    lines = tokenised(read_parts(spark, _text_files(spark, d), 5))
+    return vocab.count_items(lines.select(F.explode("tokens").alias("token")))
+
+
+def partitioned_trees(spark, d):
+    """Nodes of the tree blocks in files that are read in three byte ranges each, counted."""
+    separated = table(spark, d, "documents").where(F.col("text").isNotNull()).select(F.concat("text", F.lit("\n")))
+    path = sinks_path(spark, lambda p: separated.write.text(p))
+    nodes = parse_trees(read_parts(spark, path, 3, "\n\n")).select(F.explode("nodes").alias("n"))
+    return nodes.groupBy("n.id", "n.form", "n.head", "n.rel").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
 def lr_schedule(spark, d):
@@ -134,13 +173,13 @@ def lr_schedule(spark, d):
     sums = written(tokens(spark, d).groupBy(block).agg(F.count(F.lit(1)).alias("n")))
     total = sums.agg(F.sum("n")).first()[0] or 0
     done = F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rate = F.greatest(F.lit(0.0), (1 - F.try_divide(done.cast("double"), F.lit(float(EPOCHS * total)))) * F.lit(LR))
+    rate = learning_rate(done, EPOCHS, total, LR)
     return sums.select("block", done.alias("processed"), F.round(rate, 9).alias("lr"))
 
 
 def conllu_trees(spark, d):
     node = F.explode("nodes").alias("node")
-    return document_trees(table(spark, d, "documents")).select("sent_id", node).select("sent_id", "node.id", "node.form", "node.head", "node.rel")
+    return document_trees(spread(table(spark, d, "documents").select("doc_id", "text"))).select("sent_id", node).select("sent_id", "node.id", "node.form", "node.head", "node.rel")
 
 
 def streamed_token_counts(spark, d):
@@ -179,7 +218,10 @@ QUERIES = {
     "structgram_pairs": _pairs(ModelType.STRUCTGRAM),
     "dirgram_pairs": _pairs(ModelType.DIRGRAM),
     "pair_counts_topk": pair_counts_topk,
-    "partition_token_budget": partition_token_budget,
+    "partitioned_token_counts": partitioned_token_counts,
+    "partitioned_trees": partitioned_trees,
+    "vocab_lookup": vocab_lookup,
+    "input_lengths": input_lengths,
     "lr_schedule": lr_schedule,
     "conllu_trees": conllu_trees,
     "streamed_token_counts": streamed_token_counts,
@@ -252,6 +294,13 @@ pairs AS (SELECT x.sent_id, x.pos, x.idx AS focus_idx, ({output})::BIGINT AS out
 """
 
 
+TREES = """b AS (SELECT doc_id * 100000 + i - 1 AS sent_id, v FROM (SELECT doc_id, unnest(s) AS v, generate_subscripts(s, 1) AS i
+            FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS s FROM documents WHERE text IS NOT NULL))),
+        r AS (SELECT sent_id, i, string_split(CASE WHEN ends_with(v, chr(13)) THEN substr(v, 1, length(v) - 1) ELSE v END, chr(9)) AS f
+            FROM (SELECT sent_id, unnest(l) AS v, generate_subscripts(l, 1) AS i FROM (SELECT sent_id, string_split(v, chr(10)) AS l FROM b))
+            WHERE regexp_matches(v, '\\A[0-9]+\\t')),
+        parsed AS (SELECT sent_id, i, TRY_CAST(f[1] AS INTEGER) AS id, f[2] AS form,
+            CASE WHEN regexp_matches(coalesce(f[7], ''), '\\A[0-9]{1,9}\\z') THEN f[7]::INTEGER ELSE 0 END AS head, coalesce(f[8], '') AS rel FROM r)"""
 _SLOT = f"CASE WHEN y.f < x.f THEN y.f - x.f + {CONTEXT} ELSE y.f - x.f - 1 + {CONTEXT} END"
 SQL = {
     "tokenize_lines": f"WITH {SENTS} SELECT sent_id, len(tokens)::INTEGER AS n_tokens, array_to_string(tokens, ' ') AS tokens FROM sents",
@@ -281,16 +330,15 @@ SQL = {
     "dirgram_pairs": _pairs_sql("y.idx * 2 + CASE WHEN y.f < x.f THEN 0 ELSE 1 END") + "SELECT * FROM pairs",
     "pair_counts_topk": _pairs_sql("y.idx")
     + "SELECT focus_idx, output_idx, count(*) AS n FROM pairs GROUP BY ALL ORDER BY n DESC, focus_idx, output_idx LIMIT 100",
-    "partition_token_budget": f"WITH {SENTS} SELECT sent_id % 8 AS part, count(*) AS n_tokens, count(DISTINCT sent_id) AS n_sentences FROM toks GROUP BY 1",
+    "partitioned_token_counts": f"WITH {SENTS} SELECT * FROM counts",
+    "vocab_lookup": f'WITH {VOCAB} SELECT word_id, label, idx, "count" FROM lexicon JOIN vocab ON word = label',
+    "input_lengths": f"""WITH {VOCAB}, g AS (SELECT idx, unnest([3, 4, 5, 6]) AS n, length(label) + 2 AS l FROM vocab)
+        SELECT idx, (1 + sum(greatest(l - n + 1, 0)))::INTEGER AS n_ids, 2097152 + (SELECT count(*) FROM vocab) AS n_input_types,
+            (SELECT t::BIGINT FROM total) AS n_tokens FROM g GROUP BY idx""",
     "lr_schedule": f"""WITH {SENTS}, b AS (SELECT sent_id // 100000000 AS block, count(*) AS n FROM toks GROUP BY 1),
         r AS (SELECT block, CAST(coalesce(sum(n) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS processed,
               sum(n) OVER () AS total FROM b)
         SELECT block, processed, round(greatest(0, (1 - processed::DOUBLE / ({EPOCHS} * total)::DOUBLE) * {LR}::DOUBLE), 9) AS lr FROM r""",
-    "conllu_trees": """WITH b AS (SELECT doc_id * 100000 + i - 1 AS sent_id, v FROM (SELECT doc_id, unnest(s) AS v, generate_subscripts(s, 1) AS i
-            FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS s FROM documents WHERE text IS NOT NULL))),
-        r AS (SELECT sent_id, i, string_split(CASE WHEN ends_with(v, chr(13)) THEN substr(v, 1, length(v) - 1) ELSE v END, chr(9)) AS f
-            FROM (SELECT sent_id, unnest(l) AS v, generate_subscripts(l, 1) AS i FROM (SELECT sent_id, string_split(v, chr(10)) AS l FROM b))
-            WHERE regexp_matches(v, '\\A[0-9]+\\t'))
-        SELECT sent_id, TRY_CAST(f[1] AS INTEGER) AS id, f[2] AS form,
-            CASE WHEN regexp_matches(coalesce(f[7], ''), '\\A[0-9]{1,9}\\z') THEN f[7]::INTEGER ELSE 0 END AS head, coalesce(f[8], '') AS rel FROM r""",
+    "conllu_trees": f"WITH {TREES} SELECT sent_id, id, form, head, rel FROM parsed",
+    "partitioned_trees": f"WITH {TREES} SELECT id, form, head, rel, count(*) AS n_nodes FROM parsed GROUP BY ALL",
 }

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import json
 import struct
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, replace
 from datetime import datetime
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom import __version__
 from wordloom.config import EmbeddingFormat, RunConfig, check_format, plain
+from wordloom.operators.sampling import initial_vectors
 
 _TIME = "%Y-%m-%d %H:%M:%S"
 
@@ -80,6 +84,77 @@ def write_word2vec(vectors: DataFrame, path: str) -> None:
             out.write(row["label"].encode() + b" " + struct.pack(f"<{dims}f", *row["mean"]) + b"\n")
 
 
+# Fixed values of the fastText model file: magic number, version, skip-gram model, negative-sampling loss.
+_FT_MAGIC, _FT_VERSION, _FT_MODEL, _FT_LOSS = 793_712_314, 12, 2, 2
+
+
+def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ordered rows as one binary value of little-endian floats a batch."""
+    for batch in batches:
+        raw = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([raw], pa.large_binary())], names=["raw"])
+
+
+def write_fasttext(vocab: DataFrame, params: DataFrame, config: RunConfig, path: str) -> None:
+    """One local file in fastText's model layout: arguments, dictionary, input
+    matrix (words, then all buckets) and an empty output matrix.
+
+    The rows are the raw ones, so that a reader's mean over a word's rows is
+    its vector.  Bucket rows that no word uses have their initial value.  Rows
+    stream through the driver in order, one binary value a batch.
+    """
+    check_format(replace(config.common, format=EmbeddingFormat.FASTTEXT), config.vocab)
+    spark, common, words = vocab.sparkSession, config.common, config.vocab
+    size, buckets, dims = vocab.count(), 1 << words.indexer.buckets_exp, common.dims
+    window = getattr(config.model, "context_size", 0)
+    least = words.cutoff.value if words.cutoff.type == "MinCount" else 0
+    first = initial_vectors(spark, "in", size + buckets, dims).withColumnRenamed("vec", "start")
+    rows = first.join(params.where(F.col("matrix") == 0).select("row_id", "vec"), "row_id", "left")
+    ordered = rows.orderBy("row_id").select(F.coalesce("vec", "start").alias("vec")).mapInArrow(_blobs, "raw binary")
+    with Path(path).open("wb") as out:
+        arguments = (dims, window, common.epochs, least, common.negative_samples, 1, _FT_LOSS, _FT_MODEL, buckets, words.min_n, words.max_n, 100)
+        out.write(struct.pack("<14id", _FT_MAGIC, _FT_VERSION, *arguments, words.discard_threshold))
+        total = vocab.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+        out.write(struct.pack("<3i2q", size, size, 0, total, -1))
+        for row in vocab.orderBy("idx").select("label", "count").toLocalIterator():
+            out.write(row["label"].encode() + b"\0" + struct.pack("<qb", row["count"], 0))
+        out.write(struct.pack("<?2q", False, size + buckets, dims))
+        for row in ordered.toLocalIterator():
+            out.write(row["raw"])
+        out.write(struct.pack("<?2q", False, 0, dims))
+
+
+def read_fasttext(path: str) -> tuple[dict[str, int], list[tuple[str, int]], np.ndarray]:
+    """``(arguments, words with counts, input matrix)`` of a file of :func:`write_fasttext`."""
+    raw = Path(path).read_bytes()
+    names = ("dim", "ws", "epoch", "minCount", "neg", "wordNgrams", "loss", "model", "bucket", "minn", "maxn", "lrUpdateRate")
+    magic, version, *values = struct.unpack_from("<14i", raw)
+    if (magic, version) != (_FT_MAGIC, _FT_VERSION):
+        raise ValueError("not a fastText model of a known version")
+    at = 14 * 4 + 8
+    size = struct.unpack_from("<i", raw, at)[0]
+    at, words = at + 28, []
+    for _ in range(size):
+        end = raw.index(b"\0", at)
+        words.append((raw[at:end].decode(), struct.unpack_from("<q", raw, end + 1)[0]))
+        at = end + 10
+    rows, dims = struct.unpack_from("<2q", raw, at + 1)
+    matrix = np.frombuffer(raw, "<f4", rows * dims, at + 17).reshape(rows, dims)
+    return dict(zip(names, values)), words, matrix
+
+
+def read_word2vec(path: str) -> Iterator[tuple[str, np.ndarray]]:
+    """``(word, vector)`` of a file of :func:`write_word2vec`, in order."""
+    with Path(path).open("rb") as file:
+        size, dims = map(int, file.readline().split())
+        for _ in range(size):
+            word = b""
+            while (c := file.read(1)) != b" ":
+                word += c
+            yield word.decode(), np.frombuffer(file.read(4 * dims), "<f4")
+            file.read(1)
+
+
 def write_tables(vocab: DataFrame, vectors: DataFrame, params: DataFrame, path: str, document: dict) -> None:
     """The canonical form: tables ``words``, ``norms`` and ``subwords`` (raw
     rows beside the words) and ``metadata`` as JSON text."""
@@ -96,13 +171,13 @@ def write_tables(vocab: DataFrame, vectors: DataFrame, params: DataFrame, path:
 def write_model(vocab: DataFrame, vectors: DataFrame, params: DataFrame, config: RunConfig, info: TrainInfo) -> None:
     """Write a model in the configured format.
 
-    The layouts of the two binary formats with subwords lie outside of what
-    could be studied; for these the canonical tables are written, after the
-    same validation.
+    The native format is the canonical tables.
     """
     check_format(config.common, config.vocab)
     kind, path = config.common.format, config.output
-    if kind == EmbeddingFormat.WORD2VEC:
+    if kind == EmbeddingFormat.FASTTEXT:
+        write_fasttext(vocab, params, config, path)
+    elif kind == EmbeddingFormat.WORD2VEC:
         write_word2vec(vectors, path)
     elif kind in (EmbeddingFormat.TEXT, EmbeddingFormat.TEXTDIMS):
         write_text(vectors, path, kind == EmbeddingFormat.TEXTDIMS)
