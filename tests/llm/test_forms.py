@@ -43,3 +43,13 @@ def test_matching_keeps_rows_and_finds_words(spark):
     got = [(r["row_id"], r["word_id"]) for r in forms.match_words(df, words, ["row_id"], "label").collect()]
     assert sorted(got, key=str) == sorted([(1, 1), (2, 1), (3, 2), (4, 3), (5, None), (6, None), (7, None), (1, 1)], key=str)
     assert forms.match_words(df.limit(0), words, ["row_id"], "label").count() == 0
+
+
+def test_korean_letters_join_to_syllables():
+    import unicodedata
+
+    words = ["한국어", "가", "각", "값이 없다", "a각b"]
+    nfd = [unicodedata.normalize("NFD", w) for w in words]
+    assert forms.fold(pa.array(nfd))[0].to_pylist() == words == forms.fold(pa.array(words))[0].to_pylist()
+    alone = forms.fold(pa.array(["ㄱㅏ", "ﾡﾢ", "ᄀ", "ᅡᆨ"]))[0].to_pylist()
+    assert alone == ["ㄱㅏ", "ㄱㄲ", "ᄀ", "ᅡᆨ"]

@@ -31,7 +31,7 @@ LOOK_ALIKES = (
     ("DRTiAJEWMHYGhZbVSLCPKBdQv", "ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎩᏀᏂᏃᏏᏙᏚᏞᏟᏢᏦᏴᏧᏆᏉ"),
     ("AMESR", "ᎪᎷᎬᏕᏒ"),
     # Latin letters of another block with the plain letter's shape
-    ("gadi", "ɡɑԁı"),
+    ("gd", "ɡԁ"),
     # Coptic and Lisu, upright capitals
     ("CKMNOPTX", "ⲤⲔⲘⲚⲞⲢⲦⲬ"),
     ("BPDTGKJCZFMNLSRVHWXYAEIOU", "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ"),
@@ -40,8 +40,6 @@ LOOK_ALIKES = (
 HYPHENS = "‐‑‒⁃﹣－˗"
 # Joined letters that compatibility mappings would not undo to the letters seen.
 KEPT = "ſﬅ"  # the long s has a shape of its own
-# Look-alikes that are visibly different after all are taken out again.
-_NOT_ALIKE = "ıɑɩ"
 
 _DROP, _BLANK = -1, 0x20
 _HANGUL = (0xAC00, 0xD7A4)
@@ -71,7 +69,7 @@ _VISIBLY_EQUAL = ("<wide>", "<narrow>", "<compat>", "<font>", "<noBreak>", "<ini
 
 def _decomposition(ch: str) -> str:
     """The fully decomposed form of a code point under visibly equal mappings."""
-    if ch in KEPT:
+    if ch in KEPT or 0x3131 <= ord(ch) <= 0x318E:  # letters of the Korean script that stand alone do not join
         return ch
     mapped = unicodedata.decomposition(ch)
     if not mapped:
@@ -132,8 +130,7 @@ def tables() -> FormTables:
         special[ord(c)] = [ord("-")]
     for latin, others in LOOK_ALIKES:
         for a, b in zip(latin, others, strict=True):
-            if b not in _NOT_ALIKE:
-                alike[ord(b)] = ord(a)
+            alike[ord(b)] = ord(a)
     plain = np.arange(_SIZE, dtype=np.int32)
     for c, replacement in special.items():
         start[c], length[c] = _SIZE + len(pool), len(replacement)
@@ -182,9 +179,29 @@ def _decompose(points: np.ndarray, row: np.ndarray, t: FormTables) -> tuple[np.n
     return out, row
 
 
+def _syllables(points: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Join conjoining letters of the Korean script: first with vowel, then both with final."""
+    for second, count in ((0x1161, 21), (0x11A8, 27)):
+        if not ((points >= 0x1161) & (points < 0x11C3)).any():
+            return points, row
+        after = np.append(points[1:], 0)
+        joins = np.append(row[1:] == row[:-1], False) & (after >= second) & (after < second + count)
+        if count == 21:
+            joins &= (points >= 0x1100) & (points < 0x1113)
+            joined = _HANGUL[0] + ((points - 0x1100) * 21 + after - second) * 28
+        else:
+            joins &= (points >= _HANGUL[0]) & (points < _HANGUL[1]) & ((points - _HANGUL[0]) % 28 == 0)
+            joined = points + after - second + 1
+        keep = np.concatenate([[True], ~joins[:-1]])
+        points, row = np.where(joins, joined, points)[keep].astype(np.int32), row[keep]
+    return points, row
+
+
 def _compose(points: np.ndarray, row: np.ndarray, t: FormTables) -> tuple[np.ndarray, np.ndarray]:
     """Canonical composition: each round joins every starter with its nearest
     mark that is not blocked, until nothing joins."""
+    if len(points):
+        points, row = _syllables(points, row)
     while len(points) > 1:
         ccc = t.combining[points]
         base = np.maximum.accumulate(np.where(ccc == 0, np.arange(len(points)), 0))
@@ -263,8 +280,7 @@ def match_words(df: DataFrame, words: DataFrame, keep: list[str], text: str, wor
     """``keep``, ``text``, ``form_`` and, where the text looks like a word, the
     word's id and proper form (``word_id``, ``word_``), else null.
 
-    Only distinct texts that hold anything but plain ASCII letters or that
-    equal a word can match; all rows come out.  If several words look alike,
+    All rows come out, also those that match nothing.  If several words look alike,
     one row comes out for each.
     """
     skeletons = with_forms(words, [word_id], word).where(F.col("skeleton_") != "").select(
