@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.operators.rejects import VALUE_PATTERNS, load_strict, rejected
+from wordloom.operators.rejects import load_strict, rejected
 from wordloom.operators.skew import heavy_keys, salted_aggregate
 from wordloom.session import spread, table
 
@@ -37,6 +37,15 @@ def p6_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"p3_found": p3_found, "p3_label_totals": p3_label_totals, "p6_found": p6_found, "p6_loaded": p6_loaded}
 
 # The SQL engine has no possessive quantifiers; none are needed there.
+# What the fields of a valid line may hold.
+VALUE_PATTERNS = {
+    "sent_id": r"[0-9]+",
+    "focus": r"[0-9]+",
+    "direction": r"regular|inverse",
+    "depth": r"[1-9]",
+    "dep_label": r"[A-Za-z]+(?::[A-Za-z]+)?",
+    "form": r"[^\x00-\x09\x0B-\x1F\x7F-\x9F\x{FFFD}]+",
+}
 _F = r'(?:"(?:[^"]|"")*"|[^",]*)'
 _REC = r"\A" + ",".join(f"({_F})" for _ in VALUE_PATTERNS) + r"\z"
 _BODY = "CASE WHEN ends_with(raw, chr(13)) THEN substr(raw, 1, length(raw) - 1) ELSE raw END"
