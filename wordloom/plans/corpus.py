@@ -268,8 +268,12 @@ _BYTES = "flatten(list_transform(range(1, length(ngram) + 1), lambda i: [unicode
 _LENGTH = "[length(ngram), 0, 0, 0, 0, 0, 0, 0]"
 _BUCKET = _fold(f"list_transform(list_concat({_LENGTH}, {_BYTES}), lambda y: y::BIGINT)", f"{_H}::BIGINT", f"(xor(a, x) * {_P}) & {_M}")
 _HEX = "list_transform(range(1, length(hex(encode(ngram))), 2), lambda i: ('0x' || substr(hex(encode(ngram)), i, 2))::BIGINT)"
-_SIGNED = f"list_transform({_HEX}, lambda b: (CASE WHEN b >= 128 THEN b + 4294967040 ELSE b END) & {_M})"
-_BUCKET32 = _fold(_SIGNED, f"{FNV32_BASIS & _M}::BIGINT", f"(xor(a, x) * {FNV32_PRIME & _M}) & {_M}")
+
+
+def bucket32(mask: int) -> str:
+    """SQL of the 32-bit bucket of ``ngram``."""
+    signed = f"list_transform({_HEX}, lambda b: (CASE WHEN b >= 128 THEN b + 4294967040 ELSE b END) & {mask})"
+    return _fold(signed, f"{FNV32_BASIS & mask}::BIGINT", f"(xor(a, x) * {FNV32_PRIME & mask}) & {mask}")
 
 
 def _bucket_ids(expr: str, tail: str = "") -> str:
@@ -320,7 +324,7 @@ SQL = {
         ids AS (SELECT idx, string_agg((id + size.n)::VARCHAR, ' ' ORDER BY "at") AS ids FROM grams JOIN listed USING (ngram), size GROUP BY idx)
         SELECT idx, label, coalesce(ids, '') AS ids FROM vocab LEFT JOIN ids USING (idx)""",
     "subword_buckets": _bucket_ids(_BUCKET),
-    "subword_buckets_fasttext": _bucket_ids(_BUCKET32),
+    "subword_buckets_fasttext": _bucket_ids(bucket32(_M)),
     "word_input_indices": _bucket_ids(_BUCKET, "|| CASE WHEN ids IS NULL THEN '' ELSE ' ' END || idx"),
     "subsample_tokens": f"WITH {_KEPT} SELECT sent_id, pos::INTEGER AS pos, idx FROM kept",
     "context_window_sizes": f"""WITH {_KEPT} SELECT sent_id, pos::INTEGER AS pos,

@@ -14,7 +14,6 @@ from wordloom.operators import deps, sampling, train
 from wordloom.operators.vocab import build_vocabulary, context_vocabulary
 from wordloom.plans.corpus import SENTS, U, VOCAB, sentences, simple_vocab
 from wordloom.session import table
-from wordloom.sources.sinks import text_rows
 
 N, BAND, DIMS, STEP_LR = 1000, 10, 16, 0.05
 
@@ -150,15 +149,6 @@ def train_loss(spark, d):
     return train.train_loss(judged).select(F.round("loss", 6).alias("loss"))
 
 
-def model_text_rows(spark, d):
-    """The text form of a model with a header; numbers rounded to whole thousandths."""
-    e = table(spark, d, "embeddings")
-    whole = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("int"))
-    rows = e.select(F.col("vec_id").alias("idx"), F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("label"), whole.alias("mean"))
-    body = rows.select("idx", F.concat_ws(" ", "label", F.transform("mean", lambda x: x.cast("string"))).alias("line"))
-    return text_rows(rows.limit(0).withColumn("mean", F.array().cast("array<float>")), 64, e.count()).unionByName(body)
-
-
 def trained_model(spark, d):
     """A window model trained for one epoch of documents (kept tokens, so several passes): word and unit vector."""
     config = RunConfig("documents", "", CommonConfig(dims=DIMS, epochs=1, negative_samples=3), SimpleVocabConfig(), SkipGramConfig(context_size=3))
@@ -189,7 +179,6 @@ QUERIES = {
     "logistic_loss": logistic_loss,
     "sgd_relational_step": sgd_relational_step,
     "train_loss": train_loss,
-    "model_text_rows": model_text_rows,
     "trained_model": trained_model,
 }
 
@@ -326,6 +315,4 @@ SQL = {
             UNION ALL SELECT 'loss', ex_id, -1, sum(loss) FROM g GROUP BY ALL)""",
     "train_loss": f"""WITH {_PAIR}, t AS (SELECT {_DOT} AS a, vec_id % 2 AS label FROM pair), y AS (SELECT label, {_LOGISTIC} AS y FROM t)
         SELECT round(sum(-ln(CASE WHEN label = 1 THEN y ELSE 1 - y END + 1e-5::DOUBLE)) / sum(label), 6) AS loss FROM y""",
-    "model_text_rows": """SELECT -1 AS idx, (SELECT count(*) FROM embeddings) || ' 64' AS line
-        UNION ALL SELECT vec_id, 'w' || vec_id || ' ' || array_to_string(list_transform(embedding, lambda e: round(e::DOUBLE * 1000)::INTEGER), ' ') FROM embeddings""",
 }
