@@ -48,9 +48,9 @@ def token_counts(spark, d):
 
 
 def corpus_totals(spark, d):
-    per_token = vocab.count_items(tokens(spark, d))
-    totals = per_token.agg(F.sum("count").alias("n_tokens"), F.count(F.lit(1)).alias("n_types"))
-    return totals.withColumn("n_sentences", F.lit(sentences(spark, d).count()))
+    first = F.sum(F.when(F.col("pos") == 0, 1).otherwise(0))  # every sentence has one first token
+    per_token = tokens(spark, d).groupBy("token").agg(F.count(F.lit(1)).alias("n"), first.alias("s"))
+    return per_token.agg(F.sum("n").alias("n_tokens"), F.count(F.lit(1)).alias("n_types"), F.coalesce(F.sum("s"), F.lit(0)).alias("n_sentences"))
 
 
 def vocab_mincount(spark, d):
