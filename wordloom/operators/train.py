@@ -35,7 +35,7 @@ from wordloom.operators.examples import Layout, Work
 PARAMS = "matrix int, row_id long, vec array<float>"
 INPUT, OUTPUT = 0, 1
 #: Focus tokens of one part, the memory bound of a task.
-PART_TOKENS = 20_000
+PART_TOKENS = 10_000
 #: Share of the tokens trained so far that one step may add, and its most parts.
 GROWTH, MAX_PARTS = 0.25, 4096
 #: The curvature of the logistic loss is taken as no less than this share of the gradient.
