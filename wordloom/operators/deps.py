@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.config import DepembedsConfig
+from wordloom.operators.pairs import Lookup
 from wordloom.operators.sampling import hashed_uniform
 from wordloom.sources.corpus import NODE
 
@@ -187,7 +188,7 @@ def context_struct() -> Column:
 #: Streams of the hashed draws of focus tokens and contexts.
 KEEP_FOCUS, KEEP_CONTEXT = 2, 6
 #: Contexts, and bytes of their texts, up to which the ranked contexts are sent to every executor.
-LOOKUP_CONTEXTS, LOOKUP_BYTES = 2_000_000, 128 << 20
+LOOKUP_CONTEXTS, LOOKUP_BYTES = 1_000_000, 128 << 20
 
 
 class _Ranked:
@@ -198,19 +199,19 @@ class _Ranked:
     """
 
     def __init__(self, words: pa.Table, contexts: pa.Table):
-        self.words = words["label"].combine_chunks()
+        self.word = Lookup(words["label"].combine_chunks())
         self.word_idx, self.word_keep = (words[c].to_numpy() for c in ("idx", "keep"))
-        self.forms, self.rels = (pa.compute.unique(contexts[c]) for c in ("form", "dep_label"))
+        self.forms, self.rels = (Lookup(pa.compute.unique(contexts[c])) for c in ("form", "dep_label"))
         self.depths = int((pa.compute.max(contexts["depth"]).as_py() or 0) + 1)
         column = lambda c: contexts[c].fill_null(0).to_numpy().astype(np.int64)
-        key = self.key(column("direction"), column("depth"), contexts["dep_label"], contexts["form"])
+        key = self.key(column("direction"), column("depth"), contexts["dep_label"].combine_chunks(), contexts["form"].combine_chunks())
         order = np.argsort(key)
         self.keys, self.idx, self.keep = key[order], column("idx")[order], contexts["keep"].to_numpy()[order]
 
     def key(self, direction: np.ndarray, depth: np.ndarray, rel, form) -> np.ndarray:
         """One number for each context, negative where no context can be known."""
-        r, f = (np.asarray(pa.compute.index_in(x, value_set=known).fill_null(-1)) for x, known in ((rel, self.rels), (form, self.forms)))
-        key = ((f.astype(np.int64) * max(len(self.rels), 1) + r) * self.depths + depth) * 2 + direction
+        r, f = self.rels(rel), self.forms(form)
+        key = ((f * max(len(self.rels.at), 1) + r) * self.depths + depth) * 2 + direction
         return np.where((f < 0) | (r < 0) | (depth >= self.depths), -1, key)
 
     def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,14 +223,15 @@ class _Ranked:
         return np.where(hit, self.idx[at], -1), np.where(hit, self.keep[at], 0.0)
 
 
-def _pair_batches(config: DepembedsConfig, ranked: _Ranked, epoch: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pair_batches(config: DepembedsConfig, tables: tuple[pa.Table, pa.Table], epoch: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kept focus tokens of a batch of trees with their surviving contexts."""
+    ranked = _Ranked(*tables)
     for batch in batches:
         flat = _Flat(batch.column(0), batch.column(1))
         if not len(flat.tree):
             continue
         sent = flat.sent_id.to_numpy(zero_copy_only=False)
-        word = pa.compute.index_in(flat.form, value_set=ranked.words).fill_null(-1).to_numpy(zero_copy_only=False)
+        word = ranked.word(flat.form)
         kept = word >= 0
         kept[kept] = hashed_uniform(KEEP_FOCUS, epoch, sent[kept], flat.position[kept]) < ranked.word_keep[word[kept]]
         node, seq, focus, direction, depth, rel_at, form_at = _emitted(flat, config.depth)
@@ -287,7 +289,7 @@ def training_pairs(trees: DataFrame, config: DepembedsConfig, words: DataFrame,
         shared = spark.sparkContext.broadcast((slim.toArrow(), known.toArrow()))  # sizes checked above
         lowered = source.withColumn("lower", F.transform("nodes", lambda n: F.lower(n["form"]))) if config.normalize else source
         shape = "sent_id long, pos int, focus_idx long, contexts array<long>"
-        return lowered.mapInArrow(lambda it: _pair_batches(config, _Ranked(*shared.value), epoch, it), shape)
+        return lowered.mapInArrow(lambda it: _pair_batches(config, shared.value, epoch, it), shape)
     tokens = source.select("sent_id", F.posexplode(F.col("nodes.form")).alias("pos", "label")).join(slim, "label")
     focus = _drawn(tokens, KEEP_FOCUS, epoch, "pos").where(F.col("u") < F.col("keep")).select("sent_id", "pos", F.col("idx").alias("focus_idx"))
     contexts = dependency_contexts(source, replace(config, projectivize=False)).withColumn("h", F.xxhash64(*CONTEXT))

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from wordloom.config import ModelType
 from wordloom.functions.rand import uniform
 
 #: Words and bytes of labels up to which a vocabulary is sent to every executor.
-LOOKUP_WORDS, LOOKUP_BYTES = 2_000_000, 64 << 20
+LOOKUP_WORDS, LOOKUP_BYTES = 1_000_000, 64 << 20
 #: Pairs of one output batch.
 BATCH_PAIRS = 500_000
 _KNOWN = "sent_id long, known array<struct<pos:int,idx:long,keep:double>>"
@@ -36,13 +35,32 @@ def kept_tokens(tokens: DataFrame, vocab: DataFrame, epoch: int = 0) -> DataFram
     return known.where(uniform("s", epoch, F.col("sent_id"), F.col("pos")) < F.col("keep_prob")).select("sent_id", "pos", "idx")
 
 
+class Lookup:
+    """Positions of strings in a list, by a hash table that a task builds once.
+
+    Only the distinct strings of a batch are looked up, so a batch costs
+    nothing in proportion to the list.
+    """
+
+    def __init__(self, labels: pa.Array):
+        self.at = dict(zip(labels.to_pylist(), range(len(labels))))
+
+    def __call__(self, strings: pa.Array) -> np.ndarray:
+        """The position of each string, -1 for one that is not in the list."""
+        coded = strings.dictionary_encode()
+        get = self.at.get
+        place = np.array([get(s, -1) for s in coded.dictionary.to_pylist()] + [get(None, -1)], np.int64)
+        return place[coded.indices.fill_null(len(place) - 1).to_numpy(zero_copy_only=False)]
+
+
 def _lookup_batches(labels: pa.Array, idx: np.ndarray, keep: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    find = Lookup(labels)
     for batch in batches:
         tokens = batch.column(1)
         sizes = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         row = np.repeat(np.arange(len(sizes)), sizes)
         pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        place = pc.index_in(tokens.flatten(), value_set=labels).fill_null(-1).to_numpy(zero_copy_only=False)
+        place = find(tokens.flatten())
         hit = place >= 0
         place, counts = place[hit], np.bincount(row[hit], minlength=len(sizes))
         known = pa.StructArray.from_arrays(
