@@ -5,7 +5,9 @@ trainer runs super-steps.  The parts of a step train in parallel, each in the
 sequential order (the focus mean once per focus, the old output vector for the
 input delta, the delta in full to every input row) in NumPy on a copy of the
 rows it touches; then the deltas of a row are merged.  One super-step is one
-pass of Spark jobs over durable tables.
+pass of Spark jobs over durable tables.  Parameters of bounded size stay with
+the driver and go to every task, which trains its parts side by side and sums
+their changes; larger ones are joined to the parts.  Both give the same rows.
 
 Steps grow with the progress: the first ones are single parts, later ones take
 a fixed share of all that was trained before, cut into parts of bounded size.
@@ -25,12 +27,13 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.config import CommonConfig
 from wordloom.durable import remove, shared_dir, written_at
 from wordloom.operators.examples import Layout, Work
+from wordloom.operators.lockstep import LEAST_CURVE, Part, lockstep_pass, runs
 
 PARAMS = "matrix int, row_id long, vec array<float>"
 INPUT, OUTPUT = 0, 1
@@ -38,8 +41,10 @@ INPUT, OUTPUT = 0, 1
 PART_TOKENS = 10_000
 #: Share of the tokens trained so far that one step may add, and its most parts.
 GROWTH, MAX_PARTS = 0.25, 4096
-#: The curvature of the logistic loss is taken as no less than this share of the gradient.
-LEAST_CURVE = 0.25
+#: Bytes of vectors, and of the words' input rows, up to which every task of a step gets all parameters.
+HELD_BYTES = 32 << 20
+#: Most parts that a task trains at once, and bytes of their rows and outputs.
+GROUP_PARTS, GROUP_BYTES = 256, 96 << 20
 
 log = logging.getLogger("wordloom")
 
@@ -280,6 +285,11 @@ def _touched_batches(expand: Callable[[pa.RecordBatch], Work], batches: Iterator
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["part", "matrix", "row_id"])
 
 
+def _share(curve: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """The share of the summed deltas that a row takes; see :func:`merge_changes`."""
+    return np.divide(-np.expm1(-curve), apart, out=np.ones(len(curve)), where=apart > 0)
+
+
 def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by matrix, row and kind: each parameter row before its deltas."""
     for rows, start in whole_groups(batches, [0, 1]):
@@ -288,8 +298,7 @@ def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         base = vec[start]
         vec[start] = 0
         delta = np.add.reduceat(vec, start)
-        whole, apart = -np.expm1(-np.add.reduceat(curve, start)), np.add.reduceat(-np.expm1(-curve), start)
-        factor = np.divide(whole, apart, out=np.ones(len(start)), where=apart > 0)
+        factor = _share(np.add.reduceat(curve, start), np.add.reduceat(-np.expm1(-curve), start))
         out = (base + delta * factor[:, None]).astype(np.float32)
         offsets = pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1])
         columns = [pa.array(matrix[start]), pa.array(row_id[start]), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))]
@@ -340,6 +349,173 @@ def super_step(blocks: DataFrame, params: DataFrame, words: DataFrame, expand: C
     return updated, path, StepStats(total[0] or 0.0, total[1] or 0, total[2] or 0)
 
 
+_SUMS = "matrix int, row_id long, delta array<double>, curve double, apart double, loss double, positives long, tokens long"
+_SUM = pa.schema([
+    ("matrix", pa.int32()), ("row_id", pa.int64()), ("delta", pa.list_(pa.float64())),
+    ("curve", pa.float64()), ("apart", pa.float64()), ("loss", pa.float64()), ("positives", pa.int64()), ("tokens", pa.int64()),
+])
+
+
+def _sum_table(matrix: np.ndarray, row_id: np.ndarray, delta: np.ndarray, *others: np.ndarray) -> pa.RecordBatch:
+    offsets = pa.array(np.arange(len(delta) + 1, dtype=np.int32) * delta.shape[1])
+    columns = [pa.array(matrix.astype(np.int32)), pa.array(row_id), pa.ListArray.from_arrays(offsets, pa.array(delta.ravel()))]
+    return pa.RecordBatch.from_arrays([*columns, *[pa.array(o) for o in others]], schema=_SUM)
+
+
+def _add_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of each row, of rows sorted by matrix and row."""
+    for rows, start in whole_groups(batches, [0, 1]):
+        column = [rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4, 5, 6, 7)]
+        yield _sum_table(column[0][start], column[1][start], np.add.reduceat(_vectors(rows.column(2)), start), *[np.add.reduceat(c, start) for c in column[2:]])
+
+
+@dataclass
+class Held:
+    """All parameters, with the driver: rows in the order of their ids, and the input rows of each word."""
+
+    row_id: dict[int, np.ndarray]
+    vec: dict[int, np.ndarray]
+    word: np.ndarray
+    n_ids: np.ndarray
+    ids: np.ndarray  #: places of the words' input rows, one word after the other
+
+    @classmethod
+    def of(cls, params: DataFrame, words: DataFrame) -> Held | None:
+        """None if the vectors or the words' ids take more than ``HELD_BYTES``."""
+        numbers = params.agg(F.sum(F.size("vec")), F.count(F.lit(1))).first(), words.agg(F.sum(F.size("ids")), F.count(F.lit(1))).first()
+        if max(4 * (numbers[0][0] or 0) + 8 * numbers[0][1], 8 * ((numbers[1][0] or 0) + 2 * numbers[1][1])) > HELD_BYTES:
+            return None
+        rows, known = params.toArrow().sort_by([("matrix", "ascending"), ("row_id", "ascending")]), words.select("idx", "ids").toArrow().sort_by("idx")
+        matrix, row_id, vec = rows["matrix"].to_numpy(), rows["row_id"].to_numpy(), _vectors(rows["vec"].combine_chunks())
+        of = {m: matrix == m for m in (INPUT, OUTPUT)}
+        ids = known["ids"].combine_chunks()
+        ordered = {m: row_id[of[m]] for m in of}
+        places = np.searchsorted(ordered[INPUT], ids.flatten().to_numpy(zero_copy_only=False))
+        return cls(ordered, {m: vec[of[m]] for m in of}, known["idx"].to_numpy(), ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), places)
+
+    def add(self, sums: pa.Table) -> StepStats:
+        """Merge the changes of all parts."""
+        matrix, row_id, curve, apart = (sums[c].to_numpy() for c in ("matrix", "row_id", "curve", "apart"))
+        delta = _vectors(sums["delta"].combine_chunks()) * _share(curve, apart)[:, None]
+        for m in (INPUT, OUTPUT):
+            of = matrix == m
+            at = np.searchsorted(self.row_id[m], row_id[of])
+            self.vec[m][at] = self.vec[m][at].astype(np.float64) + delta[of]
+        return StepStats(*(pc.sum(sums[c]).as_py() or 0 for c in ("loss", "positives", "tokens")))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        parts = []
+        for m in (INPUT, OUTPUT):
+            offsets = pa.array(np.arange(len(self.vec[m]) + 1, dtype=np.int32) * self.vec[m].shape[1])
+            columns = [pa.array(np.full(len(self.vec[m]), m, np.int32)), pa.array(self.row_id[m]), pa.ListArray.from_arrays(offsets, pa.array(self.vec[m].ravel()))]
+            parts.append(pa.Table.from_arrays(columns, names=["matrix", "row_id", "vec"]))
+        return spark.createDataFrame(pa.concat_tables(parts), PARAMS)
+
+
+class _Group:
+    """Parts that a task trains side by side, each on its own copy of the rows it touches."""
+
+    def __init__(self, held: Held):
+        self.held, self.parts, self.touched = held, [], []
+        self.size, self.end = 0, {INPUT: 0, OUTPUT: 0}
+        self.totals = [0.0, 0, 0]
+        self.ends = np.cumsum(held.n_ids)
+        self.known = {OUTPUT: self._dense(held.row_id[OUTPUT]), _WORDS: self._dense(held.word)}
+        self.delta = {m: np.zeros(v.shape) for m, v in held.vec.items()}
+        self.curve = {m: np.zeros((2, len(v))) for m, v in held.vec.items()}
+
+    @staticmethod
+    def _dense(ids: np.ndarray) -> np.ndarray | None:
+        return None if len(ids) and ids[0] == 0 and ids[-1] == len(ids) - 1 else ids
+
+    def _place(self, m: int, ids: np.ndarray) -> np.ndarray:
+        return ids if self.known[m] is None else np.searchsorted(self.known[m], ids)
+
+    def _own(self, m: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows that a part touches, and the places of ``at`` in the copies of all parts."""
+        used = np.zeros(len(self.held.vec[m]), bool)
+        used[at] = True
+        rows = np.flatnonzero(used)
+        copy = np.empty(len(used), np.int64)
+        copy[rows] = self.end[m] + np.arange(len(rows))
+        self.end[m] += len(rows)
+        return rows, copy[at]
+
+    def take(self, work: Work, rates: tuple[float, float]) -> None:
+        word = self._place(_WORDS, work.focus)
+        n_ids = self.held.n_ids[word]
+        inn, ids = self._own(INPUT, self.held.ids[runs(self.ends[word] - n_ids, n_ids)])
+        out, outputs = self._own(OUTPUT, self._place(OUTPUT, work.outputs))
+        self.parts.append(Part(ids, n_ids, outputs, work.sizes, np.linspace(*rates, len(word), endpoint=False)))
+        self.touched.append({INPUT: inn, OUTPUT: out})
+        self.totals[1] += len(outputs)
+        self.totals[2] += len(word)
+        self.size += 8 * (outputs.size + ids.size) + (len(inn) + len(out)) * (8 + 8 * self.held.vec[INPUT].shape[1])
+        if len(self.parts) >= GROUP_PARTS or self.size >= GROUP_BYTES:
+            self.train()
+
+    def train(self) -> None:
+        if not self.parts:
+            return
+        stack = {m: np.concatenate([self.held.vec[m][t[m]] for t in self.touched]) for m in (INPUT, OUTPUT)}
+        curves = {m: np.zeros(len(stack[m])) for m in stack}
+        if len(self.parts) == 1:
+            loss = sequential_pass(self.parts[0].examples(), stack[INPUT], stack[OUTPUT], self.parts[0].rates, curves[INPUT], curves[OUTPUT])
+        else:
+            loss = lockstep_pass(self.parts, stack[INPUT], stack[OUTPUT], curves[INPUT], curves[OUTPUT])
+        self.totals[0] += loss
+        for m in stack:
+            begin = 0
+            for t in self.touched:
+                own = slice(begin, begin + len(t[m]))
+                delta = stack[m][own] - self.held.vec[m][t[m]]
+                moved = delta.any(axis=1)
+                rows, curve = t[m][moved], curves[m][own][moved]
+                self.delta[m][rows] += delta[moved]
+                self.curve[m][:, rows] += np.stack([curve, -np.expm1(-curve)])
+                begin = own.stop
+        self.parts, self.touched, self.size, self.end = [], [], 0, {INPUT: 0, OUTPUT: 0}
+
+    def sums(self) -> Iterator[pa.RecordBatch]:
+        for m, delta in self.delta.items():
+            moved = np.flatnonzero(delta.any(axis=1) | self.curve[m].any(axis=0))
+            for a in range(0, len(moved), 10_000):
+                some = moved[a : a + 10_000]
+                none = np.zeros(len(some), np.int64)
+                yield _sum_table(np.full(len(some), m), self.held.row_id[m][some], delta[some], *self.curve[m][:, some], none.astype(float), none, none)
+        if self.totals[2]:
+            one = np.full(1, -1)
+            yield _sum_table(one, one, np.zeros((1, self.delta[INPUT].shape[1])), np.zeros(1), np.zeros(1), *[np.array([x]) for x in self.totals])
+
+
+def held_step(blocks: DataFrame, held: Held, expand: Callable[[pa.RecordBatch], Work], rates: tuple[float, float], parts: int) -> StepStats:
+    """As :func:`super_step`, in one job over ``parts`` parts; changes ``held``.
+
+    A task trains the parts it has side by side and sums their changes, so a
+    row leaves a task once, whatever the number of parts.
+    """
+    context = blocks.sparkSession.sparkContext
+    shared = context.broadcast(held)  # at most HELD_BYTES of vectors and as many of ids
+    tasks = min(parts, context.defaultParallelism)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = _Group(shared.value)
+        for rows, start in whole_groups(batches, [0]):
+            for a, b in zip(start, [*start[1:], rows.num_rows]):
+                group.take(expand(rows.slice(a, b - a)), rates)
+        group.train()
+        yield from group.sums()
+
+    rows = blocks.select("part", *[c for c in blocks.columns if c != "part"])
+    dealt = rows.repartitionById(tasks, (F.col("part") % tasks).cast("int")).sortWithinPartitions("part", "sent_id", "block")
+    sums = dealt.mapInArrow(run, _SUMS)
+    if tasks > 1:
+        sums = sums.repartition("matrix", "row_id").sortWithinPartitions("matrix", "row_id").mapInArrow(_add_batches, _SUMS)
+    stats = held.add(sums.toArrow())
+    shared.destroy()
+    return stats
+
+
 class Trainer(Protocol):
     """What a model gives to :func:`train`."""
 
@@ -395,6 +571,7 @@ def train(trainer: Trainer, params: DataFrame, n_tokens: int, config: CommonConf
     shared_dir(spark)
     goal, began = config.epochs * n_tokens, time.time()
     params, path = written_at(params)
+    held = Held.of(params, trainer.words)
     losses, steps, processed, positives, epoch = [], [], 0, 0, 0
     while processed < goal and (max_passes is None or epoch < max_passes):
         layout, before = plan_layout(epoch, processed, max(trainer.kept, 1.0), goal), processed
@@ -403,9 +580,13 @@ def train(trainer: Trainer, params: DataFrame, n_tokens: int, config: CommonConf
         for i, parts in enumerate(layout.parts):
             share = (layout.bounds[i] if math.isfinite(layout.bounds[i]) else layout.length) - (layout.bounds[i - 1] if i else 0)
             rates = tuple(learning_rate(p, config.epochs, n_tokens, config.lr) for p in (processed, processed + share))
-            updated, new, stats = super_step(blocks.where(F.col("step") == i).drop("step"), params, trainer.words, trainer.expand(epoch), rates)
-            remove(spark, path)
-            params, path = updated, new
+            now = blocks.where(F.col("step") == i).drop("step")
+            if held:
+                stats = held_step(now, held, trainer.expand(epoch), rates, parts)
+            else:
+                updated, new, stats = super_step(now, params, trainer.words, trainer.expand(epoch), rates)
+                remove(spark, path)
+                params, path = updated, new
             processed, positives = processed + stats.tokens, positives + stats.positives
             losses.append(stats.loss / max(stats.positives, 1))
             steps.append((stats.tokens, parts))
@@ -417,6 +598,9 @@ def train(trainer: Trainer, params: DataFrame, n_tokens: int, config: CommonConf
         if processed == before:
             raise ValueError("the corpus provides no sentences to train on")
         epoch += 1
+    if held and processed:
+        params, new = written_at(held.table(spark))
+        remove(spark, path)
     return Trained(params, losses, processed, positives, steps)
 
 
