@@ -60,3 +60,21 @@ def test_a_step_takes_few_jobs(spark):
     finally:
         context.setLocalProperty("spark.jobGroup.id", None)
     assert jobs <= 3 * len(trained.steps) + 10 * 3, (jobs, len(trained.steps))
+
+
+def test_training_totals_take_few_jobs(spark, monkeypatch):
+    """The registered query at its own step sizes; what it counts is compared with SQL elsewhere."""
+    from wordloom.plans import runs
+
+    context, trained, run = spark.sparkContext, [], train.train
+    monkeypatch.setattr(train, "train", lambda *a, **k: trained.append(run(*a, **k)) or trained[-1])
+    monkeypatch.setattr(train, "PART_TOKENS", 500)
+    monkeypatch.setattr(train, "LEFT_BYTES", 0)  # shuffle files of past steps are collected after every step
+    context.setJobGroup("totals", "")
+    try:
+        row = runs.training_totals(spark, "/root/testdata/sf0.001").first()
+        jobs = len(context.statusTracker().getJobIdsForGroup("totals"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert row["losses_sound"] and (row["tokens"], row["positives"]) == (trained[0].tokens, trained[0].positives)
+    assert len(trained[0].steps) >= 8 and jobs <= 3 * len(trained[0].steps) + 15 * 3, (jobs, len(trained[0].steps))

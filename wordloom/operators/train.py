@@ -17,6 +17,7 @@ corpus, and the number of steps is logarithmic in it.
 
 from __future__ import annotations
 
+import gc
 import logging
 import math
 import time
@@ -43,6 +44,8 @@ PART_TOKENS = 10_000
 GROWTH, MAX_PARTS = 0.25, 4096
 #: Bytes of vectors, and of the words' input rows, up to which every task of a step gets all parameters.
 HELD_BYTES = 32 << 20
+#: Bytes of shuffle files after which those of past steps are collected.
+LEFT_BYTES = 256 << 20
 #: Most parts that a task trains at once, and bytes of their rows and outputs.
 GROUP_PARTS, GROUP_BYTES = 256, 96 << 20
 
@@ -349,16 +352,16 @@ def super_step(blocks: DataFrame, params: DataFrame, words: DataFrame, expand: C
     return updated, path, StepStats(total[0] or 0.0, total[1] or 0, total[2] or 0)
 
 
-_SUMS = "matrix int, row_id long, delta array<double>, curve double, apart double, loss double, positives long, tokens long"
+_SUMS = "matrix int, row_id long, delta array<float>, curve double, apart double, loss double, positives long, tokens long"
 _SUM = pa.schema([
-    ("matrix", pa.int32()), ("row_id", pa.int64()), ("delta", pa.list_(pa.float64())),
+    ("matrix", pa.int32()), ("row_id", pa.int64()), ("delta", pa.list_(pa.float32())),
     ("curve", pa.float64()), ("apart", pa.float64()), ("loss", pa.float64()), ("positives", pa.int64()), ("tokens", pa.int64()),
 ])
 
 
 def _sum_table(matrix: np.ndarray, row_id: np.ndarray, delta: np.ndarray, *others: np.ndarray) -> pa.RecordBatch:
     offsets = pa.array(np.arange(len(delta) + 1, dtype=np.int32) * delta.shape[1])
-    columns = [pa.array(matrix.astype(np.int32)), pa.array(row_id), pa.ListArray.from_arrays(offsets, pa.array(delta.ravel()))]
+    columns = [pa.array(matrix.astype(np.int32)), pa.array(row_id), pa.ListArray.from_arrays(offsets, pa.array(delta.ravel().astype(np.float32)))]
     return pa.RecordBatch.from_arrays([*columns, *[pa.array(o) for o in others]], schema=_SUM)
 
 
@@ -366,7 +369,7 @@ def _add_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sums of each row, of rows sorted by matrix and row."""
     for rows, start in whole_groups(batches, [0, 1]):
         column = [rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4, 5, 6, 7)]
-        yield _sum_table(column[0][start], column[1][start], np.add.reduceat(_vectors(rows.column(2)), start), *[np.add.reduceat(c, start) for c in column[2:]])
+        yield _sum_table(column[0][start], column[1][start], np.add.reduceat(_vectors(rows.column(2)), start, dtype=np.float64), *[np.add.reduceat(c, start) for c in column[2:]])
 
 
 @dataclass
@@ -393,14 +396,19 @@ class Held:
         places = np.searchsorted(ordered[INPUT], ids.flatten().to_numpy(zero_copy_only=False))
         return cls(ordered, {m: vec[of[m]] for m in of}, known["idx"].to_numpy(), ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), places)
 
+    @property
+    def bytes(self) -> int:
+        return sum(v.nbytes + 8 * len(v) for v in self.vec.values())
+
     def add(self, sums: pa.Table) -> StepStats:
         """Merge the changes of all parts."""
-        matrix, row_id, curve, apart = (sums[c].to_numpy() for c in ("matrix", "row_id", "curve", "apart"))
-        delta = _vectors(sums["delta"].combine_chunks()) * _share(curve, apart)[:, None]
-        for m in (INPUT, OUTPUT):
-            of = matrix == m
-            at = np.searchsorted(self.row_id[m], row_id[of])
-            self.vec[m][at] = self.vec[m][at].astype(np.float64) + delta[of]
+        for batch in sums.to_batches():
+            matrix, row_id, curve, apart = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4))
+            delta = _vectors(batch.column(2)) * _share(curve, apart)[:, None]
+            for m in (INPUT, OUTPUT):
+                of = matrix == m
+                at = np.searchsorted(self.row_id[m], row_id[of])
+                self.vec[m][at] = self.vec[m][at].astype(np.float64) + delta[of]
         return StepStats(*(pc.sum(sums[c]).as_py() or 0 for c in ("loss", "positives", "tokens")))
 
     def table(self, spark: SparkSession) -> DataFrame:
@@ -572,7 +580,7 @@ def train(trainer: Trainer, params: DataFrame, n_tokens: int, config: CommonConf
     goal, began = config.epochs * n_tokens, time.time()
     params, path = written_at(params)
     held = Held.of(params, trainer.words)
-    losses, steps, processed, positives, epoch = [], [], 0, 0, 0
+    losses, steps, processed, positives, epoch, left_over = [], [], 0, 0, 0, 0
     while processed < goal and (max_passes is None or epoch < max_passes):
         layout, before = plan_layout(epoch, processed, max(trainer.kept, 1.0), goal), processed
         laid = trainer.blocks(layout).repartition("step", "part")
@@ -583,6 +591,11 @@ def train(trainer: Trainer, params: DataFrame, n_tokens: int, config: CommonConf
             now = blocks.where(F.col("step") == i).drop("step")
             if held:
                 stats = held_step(now, held, trainer.expand(epoch), rates, parts)
+                left_over += held.bytes * min(parts, spark.sparkContext.defaultParallelism)
+                if left_over > LEFT_BYTES:  # shuffle files stay until the driver's JVM collects the plans
+                    gc.collect()
+                    spark.sparkContext._jvm.System.gc()
+                    left_over = 0
             else:
                 updated, new, stats = super_step(now, params, trainer.words, trainer.expand(epoch), rates)
                 remove(spark, path)
